@@ -12,7 +12,7 @@ MAX_EPOCHS = 3.0
 SEED = 17
 
 
-def sized(docs: DataFrame, *more: str) -> DataFrame:
+def sized(docs: DataFrame, *more) -> DataFrame:
     draw = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), draw.alias("_draw"), *more)
 
@@ -75,9 +75,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; rows taken no time at all are left out."""
     plan = mix_plan(cut(sized(docs)))
-    tagged = sized(docs, *[c for c in docs.columns if c not in ("doc_id", "source")])
-    out = with_repetitions(tagged, plan).where("repeats > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    out = with_repetitions(sized(docs, F.struct("*").alias("_doc")), plan).where("repeats > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_doc.*")
 
 
 ORACLE = r"""
