@@ -7,6 +7,7 @@ from importlib import import_module
 #: name: (module, function, table, SQL or None)
 REGISTERED = {
     "op2_simhash": ("simhash", "near_duplicates", "documents", None),
+    "op3_quality_rules": ("quality_rules", "rules", "documents", None),
     "op4_token_binary": ("token_binary", "round_trip", "documents", None),
     "op6_mixing": ("mixing", "mix_report", "documents", "ORACLE"),
     "op7_bpe": ("bpe", "digests", "documents", None),
