@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of sample text a language (the dictionary), characters of a document that may be in it, and languages.
 DICTIONARY, SAMPLE_CHARS, LANGUAGES = 96 << 10, (200, 20_000), 256
 #: Characters compressed at once; whole texts are the sum of their blocks.
-BLOCK, LEVEL = 4096, 3
+BLOCK, LEVEL = 4096, 9
 #: Share of the best size by which the second must be larger, or the answer counts as rejected.
 MARGIN = 0.01
 UNKNOWN = "und"

@@ -6,18 +6,22 @@ from importlib import import_module
 
 #: name: (module, function, table, SQL or None)
 REGISTERED = {
+    "op1_language_id": ("language_id", "languages", "documents", None),
     "op2_simhash": ("simhash", "near_duplicates", "documents", None),
     "op3_quality_rules": ("quality_rules", "rules", "documents", None),
     "op4_token_binary": ("token_binary", "round_trip", "documents", None),
     "op6_mixing": ("mixing", "mix_report", "documents", "ORACLE"),
     "op7_bpe": ("bpe", "digests", "documents", None),
+    "op8_mil_quality": ("mil_quality", "quality", None, None),
+    "op9_media": ("media", "round_trip", "documents", None),
     "op10_url_filter": ("url_filter", "judge", "pages", "ORACLE"),
 }
 
 
-def _query(module: str, function: str, table: str):
+def _query(module: str, function: str, table: str | None):
     def run(spark, sf_dir):
-        return getattr(import_module(f"{__package__}.{module}"), function)(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        operator = getattr(import_module(f"{__package__}.{module}"), function)
+        return operator(spark, sf_dir) if table is None else operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     return run
 
