@@ -65,12 +65,12 @@ def base_statistics(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """Statistics, base verdict, group key and vector of every document."""
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Statistics, base verdict, group key and vector of every document, and the document as _doc if asked for."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     group = F.concat_ws("\x01", key("lang"), key("source"))
-    df = docs.select("doc_id", group.alias("_g"), F.explode(F.array(base_statistics(F.col("text")))).alias("_s"), *more)
-    df = df.select("doc_id", "_g", *[f"_s.{c}" for c in (*BASE, "n_upper")], *more)
+    df = docs.select("doc_id", group.alias("_g"), F.explode(F.array(base_statistics(F.col("text")))).alias("_s"), *[F.struct("*").alias("_doc")] * whole)
+    df = df.select("doc_id", "_g", *[f"_s.{c}" for c in (*BASE, "n_upper")], *["_doc"] * whole)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
     values = (F.log1p("n_words"), share("word_chars", "n_words"), F.log1p(1000 * share("n_symbols", "word_chars")), F.log1p("n_dup_lines"), F.sqrt(share("n_repeat_words", "n_words")), F.log1p(1000 * share("n_upper", "word_chars")))
@@ -148,4 +148,4 @@ def rules(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that rules() keeps: texts are measured again in place, so that only statistics are stored."""
     table = estimates(cut(measured(docs)))
-    return judged(measured(docs, F.struct("*").alias("_doc")), table).where("kept").select("_doc.*")
+    return judged(measured(docs, whole=True), table).where("kept").select("_doc.*")

@@ -10,6 +10,7 @@ REGISTERED = {
     "op2_simhash": ("simhash", "near_duplicates", "documents", None),
     "op3_quality_rules": ("quality_rules", "rules", "documents", None),
     "op4_token_binary": ("token_binary", "round_trip", "documents", None),
+    "op5_pii": ("pii", "report", "documents", None),
     "op6_mixing": ("mixing", "mix_report", "documents", "ORACLE"),
     "op7_bpe": ("bpe", "digests", "documents", None),
     "op8_mil_quality": ("mil_quality", "quality", None, None),
