@@ -20,15 +20,17 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .bpe import byte_letters, slices
 from .common import stored
 
 END = 0
@@ -36,8 +38,12 @@ END = 0
 NO_ID = -(1 << 63)
 BLOCK_IDS, CHUNK_IDS, LEVEL = 1 << 16, 1 << 18, 1
 #: Chunks of text between spaces whose ids a worker keeps.
-CACHED = 400_000
+CACHED = 1_000_000
 CHUNKS = "shard int, chunk int, n_docs int, n_ids long, first_id long, data binary"
+#: How byte-level vocabularies cut words.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space before a space, or a special token: only texts with one of these are searched for FRAGILE.
+SIGNS = ("  ", "\n ", "\t ", "\r ", "<|", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Where a cut at single spaces could change the ids: white space around a space, or a special token.
 FRAGILE = re.compile(r"\s\x20(?:\s|\Z)|<\|")
 
@@ -77,6 +83,18 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths.astype(np.int64), ids[:n]
 
 
+class _Places(dict):
+    """Numbers for parts of texts, in order of first sight; new ones wait to be encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        n = self[part] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts by a byte-level vocabulary of the tokenizers library.
 
@@ -91,42 +109,71 @@ class Encoder:
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
+        self.letter = dict(enumerate(byte_letters()))
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at, self.word = _Places(), {}
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: list[str]) -> None:
-        got = self.whole(parts)
+    def model_ids(self, piece: str) -> list[int]:
+        """Ids of one word as the library cuts it."""
+        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letter))]
+
+    def composed(self, part: str) -> list[int]:
+        """Ids of a part that is not letters alone, from those of its words, or from the library where these may be cut otherwise."""
+        if part[:2] == "  ":
+            return self.whole([part[2:]])[0]
+        if not part or "<|" in part or not part.isprintable() and any(x and x.split() != [x] for x in part.split("\n")):
+            return self.whole([" " + part])[0]
+        out: list[int] = []
+        for piece in PIECE.findall(" " + part):
+            if piece.isalpha() or piece[0] == " ":
+                out += self.model_ids(piece)
+            else:
+                if piece not in self.word:
+                    self.word[piece] = self.model_ids(piece)
+                out += self.word[piece]
+        return out
+
+    def learn(self) -> None:
+        """Encode the new parts by the library's model.
+
+        Parts stand without their space, and the first of a text behind two spaces, which no other part has.
+        """
+        parts, self.at.new = self.at.new, []
+        tokenize = self.library.model.tokenize
+        got = [[t.id for t in tokenize("\u0120" + p)] if p.isascii() and p.isalpha() else self.model_ids(" " + p) if p.isalpha() else self.composed(p) for p in parts]
         length = np.fromiter(map(len, got), np.int64, len(got))
-        self.at.update(zip(parts, range(len(self.at), len(self.at) + len(parts)), strict=True))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(length.sum()))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [np.zeros(0, np.uint32)] * len(texts)
-        plain, cut = [], []
+        if len(self.at) > CACHED:
+            self.clear()
+        plain, places = [], []
         for i, t in enumerate(texts):
-            if t and FRAGILE.search(t):
+            if t and any(map(t.__contains__, SIGNS)) and FRAGILE.search(t):
                 out[i] = np.array(self.whole([t])[0], np.uint32)
             elif t:
-                first, *rest = t.split(" ")
+                parts = t.split(" ")
+                parts[0] = "  " + parts[0]
                 plain.append(i)
-                cut.append([first, *[" " + x for x in rest]])
-        if len(self.at) > CACHED:
-            self.clear()
-        if new := list({p for ps in cut for p in ps} - self.at.keys()):
-            self.learn(new)
-        for i, ps in zip(plain, cut, strict=True):
-            k = np.fromiter(map(self.at.__getitem__, ps), np.int64, len(ps))
+                places.append(np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts)))
+        if self.at.new:
+            self.learn()
+        if plain:
+            k = np.concatenate(places)
             length = self.length[k]
             ends = np.cumsum(length)
-            out[i] = self.flat[np.repeat(self.start[k] - ends + length, length) + np.arange(ends[-1])]
+            ids = self.flat[np.repeat(self.start[k] - ends + length, length) + np.arange(ends[-1])]
+            for i, one in zip(plain, np.split(ids, ends[np.cumsum([*map(len, places)])[:-1] - 1]), strict=True):
+                out[i] = one
         return out
 
 
