@@ -77,27 +77,25 @@ def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
     return df.withColumns({"base_failed": failed} | {f"_x{i}": F.round(1000 * v).cast("long") for i, v in enumerate(values)})
 
 
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+X = [f"_x{i}" for i in range(P)]
+
+
 def factored(sums: DataFrame) -> DataFrame:
     """Mean and Cholesky factor of each group from _n, _m0.. (means) and _c00.. (covariances), shrunk to SPREAD."""
-    keep = F.col("_n") / (F.col("_n") + PRIOR)
-    df = sums
-    for i in range(P):
-        for j in range(i + 1):
-            start = keep * F.col(f"_c{i}{j}") + (F.lit(SPREAD[i] ** 2) * (1.05 - keep) if i == j else F.lit(0.0))
-            for k in range(j):
-                start = start - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            df = df.withColumn(f"_l{i}{j}", F.sqrt(start) if i == j else start / F.col(f"_l{j}{j}"))
-    return df.select("_g", "_n", *[f"_m{i}" for i in range(P)], *[f"_l{i}{j}" for i in range(P) for j in range(i + 1)])
+    cells = []
+    for i, j in LOWER:
+        prior = f" + {SPREAD[i] ** 2}D * (1.05D - _n / (_n + {PRIOR}D))" if i == j else ""
+        rest = "".join(f" - _l{i}{k} * _l{j}{k}" for k in range(j))
+        value = f"_n / (_n + {PRIOR}D) * _c{i}{j}{prior}{rest}"
+        cells.append(f"sqrt({value}) AS _l{i}{j}" if i == j else f"({value}) / _l{j}{j} AS _l{i}{j}")
+    return sums.selectExpr("_g", "_n", *[f"_m{i}" for i in range(P)], *cells)
 
 
 def distance(df: DataFrame) -> DataFrame:
     """Add _d2, the squared Mahalanobis distance by the columns of factored()."""
-    for i in range(P):
-        left = F.col(f"_x{i}") / 1000 - F.col(f"_m{i}")
-        for j in range(i):
-            left = left - F.col(f"_l{i}{j}") * F.col(f"_y{j}")
-        df = df.withColumn(f"_y{i}", left / F.col(f"_l{i}{i}"))
-    return df.withColumn("_d2", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, P)), F.col("_y0") * F.col("_y0"))).drop(*[f"_y{i}" for i in range(P)])
+    ys = [f"(_x{i} / 1000 - _m{i}" + "".join(f" - _l{i}{j} * _y{j}" for j in range(i)) + f") / _l{i}{i} AS _y{i}" for i in range(P)]
+    return df.selectExpr("*", *ys, " + ".join(f"_y{i} * _y{i}" for i in range(P)) + " AS _d2").drop(*[f"_y{i}" for i in range(P)])
 
 
 def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
@@ -105,25 +103,28 @@ def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -
 
     Medians and quantiles are exact over values of bounded number (thousandths, hundredths of a logarithm).
     """
-    rows = rows.where("not base_failed").select("_g", *[f"_x{i}" for i in range(P)])
-    mid = rows.groupBy("_g").agg(F.count("*").alias("_n"), *[F.percentile(f"_x{i}", 0.5).alias(f"_p{i}") for i in range(P)])
-    mid = cut(mid)
+
+    def grouped(df: DataFrame, *aggregates: str) -> DataFrame:
+        return df.groupBy("_g").agg(*map(F.expr, aggregates))
+
+    def with_table(df: DataFrame, table: DataFrame) -> DataFrame:
+        return join_small(df, table.withColumnRenamed("_g", "_h"), F.col("_g") == F.col("_h"), groups)
+
+    rows = rows.where("not base_failed").select("_g", *X)
+    mid = cut(grouped(rows, "count(*) AS _n", *[f"percentile(_x{i}, 0.5D) AS _p{i}" for i in range(P)]))
     groups = mid.count()
-    off = join_small(rows, mid.withColumnRenamed("_g", "_h"), F.col("_g") == F.col("_h"), groups)
-    mad = off.groupBy("_g").agg(F.first("_n").alias("_n"), *[(F.first(f"_p{i}") / 1000).alias(f"_m{i}") for i in range(P)], *[(F.percentile(F.abs(F.col(f"_x{i}") - F.col(f"_p{i}")), 0.5) * 0.0014826).alias(f"_w{i}") for i in range(P)])
-    now = factored(mad.select("_g", "_n", *[f"_m{i}" for i in range(P)], *[((F.col(f"_w{i}") * F.col(f"_w{i}")) if i == j else F.lit(0.0)).alias(f"_c{i}{j}") for i in range(P) for j in range(i + 1)]))
-    bin_of = F.floor(100 * F.log(F.greatest(F.col("_d2"), F.lit(1e-6))))
+    off = [f"max(_p{i}) / 1000 AS _m{i}" for i in range(P)] + [f"percentile(abs(_x{i} - _p{i}), 0.5D) * 0.0014826D AS _w{i}" for i in range(P)]
+    start = grouped(with_table(rows, mid), "max(_n) AS _n", *off)
+    now = cut(factored(start.selectExpr("_g", "_n", *[f"_m{i}" for i in range(P)], *[f"_w{i} * _w{i} AS _c{i}{j}" if i == j else f"0D AS _c{i}{j}" for i, j in LOWER])))
+    level = "floor(100 * ln(greatest(_d2, 1e-6D))) AS _bin"
     for _ in range(steps):
-        now = cut(now.withColumnRenamed("_g", "_h"))
-        near = distance(join_small(rows, now, F.col("_g") == F.col("_h"), groups)).select("_g", *[f"_x{i}" for i in range(P)], bin_of.alias("_bin"))
-        bound = near.groupBy("_g").agg(F.percentile("_bin", coverage).alias("_b")).withColumnRenamed("_g", "_h")
-        inner = join_small(near, bound, F.col("_g") == F.col("_h"), groups).where("_bin <= _b")
-        sums = inner.groupBy("_g").agg(F.count("*").alias("_n"), *[F.sum(f"_x{i}").alias(f"_s{i}") for i in range(P)], *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q{i}{j}") for i in range(P) for j in range(i + 1)])
-        mean = lambda i: F.col(f"_s{i}") / F.col("_n") / 1000
-        now = factored(sums.select("_g", "_n", *[mean(i).alias(f"_m{i}") for i in range(P)], *[(F.col(f"_q{i}{j}") / F.col("_n") / 1e6 - mean(i) * mean(j)).alias(f"_c{i}{j}") for i in range(P) for j in range(i + 1)]))
-    now = cut(now.withColumnRenamed("_g", "_h"))
-    scale = distance(join_small(rows, now, F.col("_g") == F.col("_h"), groups)).groupBy("_g").agg(F.count("*").alias("_all"), F.percentile(bin_of, 0.5).alias("_b"))
-    return cut(now.join(scale, F.col("_h") == F.col("_g")).drop("_g", "_n").withColumn("_scale", F.greatest(F.lit(1.0), F.exp(F.col("_b") / 100) / MEDIAN)).drop("_b"))
+        near = distance(with_table(rows, now)).selectExpr("_g", *X, level)
+        inner = with_table(near, grouped(near, f"percentile(_bin, {coverage}D) AS _b")).where("_bin <= _b")
+        sums = grouped(inner, "count(*) AS _n", *[f"sum(_x{i}) AS _s{i}" for i in range(P)], *[f"sum(_x{i} * _x{j}) AS _q{i}{j}" for i, j in LOWER])
+        means = [f"_s{i} / _n / 1000 AS _m{i}" for i in range(P)]
+        now = cut(factored(sums.selectExpr("_g", "_n", *means, *[f"_q{i}{j} / _n / 1e6D - _m{i} * _m{j} AS _c{i}{j}" for i, j in LOWER])))
+    scale = grouped(distance(with_table(rows, now)).selectExpr("_g", level), "count(*) AS _all", f"greatest(1D, exp(percentile(_bin, 0.5D) / 100) / {MEDIAN}D) AS _scale")
+    return cut(now.drop("_n").withColumnRenamed("_g", "_h").join(scale, F.col("_h") == F.col("_g")).drop("_g"))
 
 
 def judged(rows: DataFrame, table: DataFrame) -> DataFrame:
