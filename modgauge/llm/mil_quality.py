@@ -141,7 +141,8 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     total = known.count()
     draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.withColumn("_draw", draw).where(F.col("_draw") < min(1.0, LEARN_DOCS / max(1, total))).orderBy("_draw", "_id", "_y").limit(2 * LEARN_DOCS)
-    rows = docs.where(F.length("text") <= LEARN_CHARS).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_draw", "_id", "_y", "text").collect()
+    short = docs.where(F.length("text") <= LEARN_CHARS).select("doc_id", "text")
+    rows = short.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_draw", "_id", "_y", "text").collect()
     rows.sort(key=lambda r: (r["_draw"], r["_id"], r["_y"], r["text"]))
     y = np.array([float(r["_y"] > 0) for r in rows])
     model = Model(float(y.mean()) if len(y) else 0.5)

@@ -208,6 +208,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     terms = term_spans(found_in(docs), docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     packed = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.explode(F.array(base_spans(text))).alias("_spans"), F.struct("*").alias("_doc"))
-    out = with_terms(packed, terms).select("_doc.*", F.when(F.col("_doc.text").isNotNull(), replaced(F.col("_doc.text"), F.col("_all"))).alias("_clean"))
+    clean = F.when(F.col("_doc.text").isNotNull(), replaced(F.col("_doc.text"), F.col("_all")))
+    out = with_terms(packed, terms).select("_doc", clean.alias("_clean"))
     columns = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    return out.select(*[columns.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

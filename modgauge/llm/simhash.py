@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -46,15 +46,20 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows that share a doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, key (of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _search(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -125,6 +130,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_links, "a long, b long").distinct()
 
 
+def rooted(of_doc: DataFrame) -> DataFrame:
+    """(fp, least, first, root) of each distinct fingerprint: its least doc_id, its first document, its component's root.
+
+    The first document is the struct (no_id, doc_id, key) that is least, so that those with an id go first.
+    """
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(document).alias("first")))
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Contract of op2: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
@@ -133,16 +149,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each; an empty table gives none; other columns are ignored; null doc_ids never name a component unless alone.
     """
     of_doc = cut(fingerprints(docs))
-    nodes = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
+    nodes = rooted(of_doc)
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = nodes.join(named, "root").select("fp", "component_id")
     return of_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of least doc_id; rows that repeat its doc_id go as well."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    packed = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_doc"))
-    return packed.join(keep, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id"]).select("_doc.*")
+    """One document of each component: that of least doc_id, or one without an id where none has one.
+
+    Rows that repeat both its doc_id and its text go as well; rows of other texts under the same doc_id belong to
+    components of their own and stay there. An empty table stays empty.
+    """
+    first = rooted(cut(fingerprints(docs))).groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"), F.struct("*").alias("_doc"))
+    same = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text"))
+    return packed.join(keep, same, "left_semi").dropDuplicates(["_id", "_key"]).select("_doc.*")
