@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, let
+from .common import BROADCAST_ROWS, cut, join_small, let
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive forms of the patterns: they match the same leftmost spans without backtracking, in linear time.
@@ -124,7 +124,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(entity, term, share): pairs of which the term gives GENERALISE or more of the entity away, or None.
 
     Pairs need SUPPORT different contexts, so that copies of one document prove nothing. A term's document
-    count is over the whole corpus; only candidates are counted.
+    count is over the whole corpus: tasks count all terms of their documents before anything is shuffled, and
+    candidates are picked from the counts, so that common candidates cost no row for each document.
     """
     near = found.where("size(_near) > 0").select("doc_id", "_h", F.explode("_near").alias("x")).select("doc_id", "_h", "x.entity", "x.context", "x.term")
     pairs = near.groupBy("entity", "term", "context").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
@@ -132,11 +133,10 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     if pairs.isEmpty():
         return None
     terms = cut(pairs.select("term").distinct())
-    few = terms.count() <= BROADCAST_ROWS
+    tokens = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("_t"))
+    counted = tokens.groupBy("_t").agg(F.count("*").alias("df_t"))
+    of_term = join_small(counted, terms, F.col("_t") == F.col("term"), terms.count()).select("term", "df_t")
     total = found.count()
-    tokens = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    tokens = tokens.join(F.broadcast(terms), "term", "left_semi") if few else tokens
-    of_term = tokens.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
     entities = pairs.select("entity").distinct()
     of_entity = found.where("size(_spans) > 0").select(F.explode(F.array_distinct(F.transform("_spans", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e")).join(entities, "entity", "left_semi")
     once = found.where("size(_near) > 0").select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.*")
