@@ -38,12 +38,15 @@ END = 0
 NO_ID = -(1 << 63)
 BLOCK_IDS, CHUNK_IDS, LEVEL = 1 << 16, 1 << 18, 1
 #: Chunks of text between spaces whose ids a worker keeps.
-CACHED = 1_000_000
+CACHED = 1_250_000
 CHUNKS = "shard int, chunk int, n_docs int, n_ids long, first_id long, data binary"
+#: Signs that often end a word; a run of them is a word of its own.
+STOPS = ".,;:!?)"
 #: How byte-level vocabularies cut words.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space before a space, or a special token: only texts with one of these are searched for FRAGILE.
-SIGNS = ("  ", "\n ", "\t ", "\r ", "<|", *"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: White space before a space, or a special token: only texts with one of these are searched for FRAGILE. Texts of ASCII alone have no wide one.
+SIGNS = ("  ", "\n ", "\t ", "\r ", "<|", *"\x0b\x0c\x1c\x1d\x1e\x1f")
+WIDE_SIGNS = (*"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Where a cut at single spaces could change the ids: white space around a space, or a special token.
 FRAGILE = re.compile(r"\s\x20(?:\s|\Z)|<\|")
 
@@ -125,6 +128,9 @@ class Encoder:
 
     def composed(self, part: str) -> list[int]:
         """Ids of a part that is not letters alone, from those of its words, or from the library where these may be cut otherwise."""
+        bare = part.rstrip(STOPS)
+        if bare.isalpha() and bare != part:  # letters, then one run of signs
+            return self.model_ids(" " + bare) + self.sign(part[len(bare) :])
         if part[:2] == "  ":
             return self.whole([part[2:]])[0]
         if not part or "<|" in part or not part.isprintable() and any(x and x.split() != [x] for x in part.split("\n")):
@@ -134,11 +140,14 @@ class Encoder:
             if piece.isalpha() or piece[0] == " ":
                 out += self.model_ids(piece)
             else:
-                if piece not in self.word:
-                    self.word[piece] = self.model_ids(piece)
-                out += self.word[piece]
+                out += self.sign(piece)
         return out
 
+    def sign(self, piece: str) -> list[int]:
+        if piece not in self.word:
+            self.word[piece] = self.model_ids(piece)
+        return self.word[piece]
+
     def learn(self) -> None:
         """Encode the new parts by the library's model.
 
@@ -158,7 +167,7 @@ class Encoder:
             self.clear()
         plain, places = [], []
         for i, t in enumerate(texts):
-            if t and any(map(t.__contains__, SIGNS)) and FRAGILE.search(t):
+            if t and (any(map(t.__contains__, SIGNS)) or not t.isascii() and any(map(t.__contains__, WIDE_SIGNS))) and FRAGILE.search(t):
                 out[i] = np.array(self.whole([t])[0], np.uint32)
             elif t:
                 parts = t.split(" ")
