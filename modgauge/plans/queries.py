@@ -71,8 +71,13 @@ def _(spark, sf):
     return graph.participation(graph.cycles(facts.edges(spark, sf))).withColumn("representative", _joined("representative"))
 
 
-def _agg(spark, sf):
-    return report.graded(report.aggregates(facts.modules(spark, sf), graph.cycles(facts.edges(spark, sf)), facts.dup_blocks(spark, sf)))
+def _parts(spark, sf):
+    """Modules, cycles and duplicate blocks: what a report is made of, planned once for a query."""
+    return facts.modules(spark, sf), graph.cycles(facts.edges(spark, sf)), facts.dup_blocks(spark, sf)
+
+
+def _agg(modules, cycles, blocks):
+    return report.graded(report.aggregates(modules, cycles, blocks))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -81,7 +86,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query("a12_a13_aggregates")
 def _(spark, sf):
-    return _rounded(_agg(spark, sf), "mean_instability", "mean_distance", "dup_percent").drop("overall")
+    return _rounded(_agg(*_parts(spark, sf)), "mean_instability", "mean_distance", "dup_percent").drop("overall")
 
 
 @query("a20_graph_stats")
@@ -134,25 +139,25 @@ def _(spark, sf):
     return _rounded(report.violations(modules, none, LIMITS, graph.cycles(facts.edges(spark, sf))), "value")
 
 
-def _hits(spark, sf):
-    modules, blocks = facts.modules(spark, sf), facts.dup_blocks(spark, sf)
-    return report.rule_hits(modules, graph.participation(graph.cycles(facts.edges(spark, sf))), report.dup_facts(blocks, modules))
+def _hits(modules, cycles, blocks):
+    return report.rule_hits(modules, graph.participation(cycles), report.dup_facts(blocks, modules))
 
 
 @query("v4_rule_hits")
 def _(spark, sf):
-    return _rounded(_hits(spark, sf), "extremity", "value")
+    return _rounded(_hits(*_parts(spark, sf)), "extremity", "value")
 
 
 @query("o9_recommendations")
 def _(spark, sf):
-    return _rounded(report.recommendations(_hits(spark, sf)), "extremity", "value")
+    return _rounded(report.recommendations(_hits(*_parts(spark, sf))), "extremity", "value")
 
 
 @query("v5_report_model")
 def _(spark, sf):
-    one = _rounded(_agg(spark, sf), "mean_instability", "mean_distance", "dup_percent")
-    return one.crossJoin(report.has_violations(_hits(spark, sf)))  # one row on either side
+    parts = _parts(spark, sf)
+    one = _rounded(_agg(*parts), "mean_instability", "mean_distance", "dup_percent")
+    return one.crossJoin(report.has_violations(_hits(*parts)))  # one row on either side
 
 
 @query("f4_significant_lines")
