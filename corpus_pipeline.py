@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next one's docs. Stages 1 to 4 return the columns of documents:
 
 1. quality: documents that fail the base rules or lie outside their group's robust estimate go.
-2. near_duplicates: of each component of near-duplicate fingerprints the least doc_id stays.
+2. near_duplicates: of each component of near-duplicate fingerprints and of texts whose five-word shingles have a
+   similarity of 0.8 or more the least doc_id stays.
 3. personal_data: spans of personal data are masked and n_chars is brought up to date.
 4. mixing: each document is repeated as often as its source's target asks.
 5. encoding: doc_id, n_tokens, ids, and digests of the ids and of the text they decode to.
@@ -23,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, alike=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ taken around the fingerprint's 32-bit halves: of two fingerprints three bits apa
 bit at most, so one's exact half lies in the other's ball and both meet on that variant. This takes 66
 variants a fingerprint where balls around all 64 bits need 2,081 (see the README for figures); the links
 found are the same. Colliding fingerprints are verified on all 64 bits, and equal pairs are merged.
+
+That is the contract of op2. The pipeline's stage, deduplicated(alike=True), also links texts whose sets of five-word
+shingles have a Jaccard similarity of SIMILARITY or more: MinHash bands name the candidates and the exact sets
+decide. Two texts at 0.8 share none of the bands once in 14,000 times, and less often the more alike they are.
 """
 
 from __future__ import annotations
@@ -24,28 +28,52 @@ SHINGLE = 3
 SEED = 42
 #: Runs of so many fingerprints on one variant are compared in whole columns; longer ones are searched breadth first.
 SHORT_RUN = 8
+#: Near copies of deduplicated(): words a shingle, the similarity as a fraction, MinHash bands and values a band.
+WIDE, SIMILARITY = 5, (4, 5)
+BANDS, ROWS = 24, 5
+MIX = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Buckets of so many texts are compared pair by pair; in longer ones a text at a time meets all others.
+SMALL_BUCKET = 8
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """SimHash of word shingles, repeats included; 0 where there is no word. Whole texts, A-Z lowered."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of word shingles, repeats included; none where there is no word. Whole texts, A-Z lowered."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """SimHash of word shingles, repeats included; 0 where there is no word. Whole texts, A-Z lowered."""
+    hashes = shingles(text, width)
     n, ones = len(hashes), np.zeros(64, np.int64)
+    if not n:
+        return 0
     for at in range(0, n, 32768):
         block = hashes[at : at + 32768].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def bands(text: str | None) -> list[int]:
+    """Signed keys of the text's MinHash bands over five-word shingles; none where there is no word."""
+    hashes = shingles(text, WIDE)
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * MIX).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
 def text_key(text: Column) -> Column:
     """Tells rows that share a doc_id apart by their texts."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
@@ -62,6 +90,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
+def banded(docs: DataFrame) -> DataFrame:
+    """fingerprints() and bands, the keys of the text's MinHash bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+
+
 def _search(fps: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of fps: breadth first, each one met once and compared with those not yet met.
 
@@ -130,14 +170,65 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_links, "a long, b long").distinct()
 
 
-def rooted(of_doc: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints from pairs (ka, kb, a, b) of text keys, where the exact sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, WIDE)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+
+    pairs = cut(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = cut(texts.mapInArrow(run, "key long, set array<long>"))
+    both = pairs.join(sets.toDF("ka", "sa"), "ka").join(sets.toDF("kb", "sb"), "kb")
+    num, den = SIMILARITY
+    alike = (num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.size("sa") + F.size("sb"))
+    return cut(both.where(alike).select("a", "b").distinct())
+
+
+def similar(of_doc: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """The known links and those of similar texts that share a band, as far as components need them.
+
+    Small buckets are compared pair by pair. In each larger one a text of its rarest component meets the texts of
+    all other components and leaves, until one component is left; a group of near copies takes one such round.
+    Each round takes texts of twice as many components as the one before, so that rounds and their plans stay few.
+    """
+    text = F.struct("key", "fp")
+    members = of_doc.dropDuplicates(["key"]).select("key", "fp", F.explode("bands").alias("bucket"))
+    sized = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(sized, "bucket"))
+    small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_list(text)).alias("all"))
+    pair = small.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
+    pair = pair.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    found = known.unionByName(verified(pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS), docs))
+    left = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "key", "fp")
+    take = 1
+    while not left.isEmpty():
+        now = left.join(components(found), F.col("fp") == F.col("node"), "left").select("bucket", "key", "fp", F.coalesce("root", "fp").alias("root"))
+        classes = now.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(text).alias("x"))
+        hubs = classes.groupBy("bucket").agg(F.count("*").alias("roots"), F.slice(F.array_sort(F.collect_list(F.struct("c", "x", "root"))), 1, take).alias("hubs")).where("roots > 1")
+        met = cut(now.join(hubs, "bucket"))
+        if met.isEmpty():
+            break
+        pair = met.select("key", "fp", "root", F.explode("hubs").alias("hub")).where(F.col("root") != F.col("hub.root")).select(F.col("hub.x.key").alias("ka"), F.col("key").alias("kb"), F.col("hub.x.fp").alias("a"), F.col("fp").alias("b"))
+        found = cut(found.unionByName(verified(pair, docs)))
+        left = met.where(~F.exists("hubs", lambda h: h["x"]["key"] == F.col("key"))).select("bucket", "key", "fp")
+        take *= 2
+    return found
+
+
+def rooted(of_doc: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(fp, least, first, root) of each distinct fingerprint: its least doc_id, its first document, its component's root.
 
     The first document is the struct (no_id, doc_id, key) that is least, so that those with an id go first.
+    With docs, whose banded() rows of_doc then has, similar texts are linked as well.
     """
     document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     nodes = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(document).alias("first")))
-    roots = components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    roots = components(edges if docs is None else similar(of_doc, cut(edges), docs))
     return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -155,13 +246,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return of_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, alike: bool = False) -> DataFrame:
     """One document of each component: that of least doc_id, or one without an id where none has one.
 
+    Components are those of op2's links; with alike, of those and of similar() together.
+
     Rows that repeat both its doc_id and its text go as well; rows of other texts under the same doc_id belong to
     components of their own and stay there. An empty table stays empty.
     """
-    first = rooted(cut(fingerprints(docs))).groupBy("root").agg(F.min("first").alias("first"))
+    first = (rooted(cut(banded(docs)), docs) if alike else rooted(cut(fingerprints(docs)))).groupBy("root").agg(F.min("first").alias("first"))
     keep = first.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
     packed = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"), F.struct("*").alias("_doc"))
     same = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text"))

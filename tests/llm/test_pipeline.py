@@ -57,3 +57,10 @@ def test_empty_and_edge_documents(spark, empty, edge, sf_dir, tmp_path):
 def test_queries_are_registered():
     assert sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0])) == [*queries.REGISTERED]
     assert set(queries.oracle_sql()) == {"op6_mixing", "op10_url_filter"}
+
+
+def test_near_duplicates_drops_similar_texts(frames):
+    docs, good, unique, *_ = frames
+    shingles = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in unique.collect() if (w := r.text.split())}
+    assert not [(a, b) for a in shingles for b in shingles if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+    assert {r.doc_id for r in unique.collect()} < {r.component_id for r in simhash.near_duplicates(good).collect()}

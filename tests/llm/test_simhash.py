@@ -90,3 +90,37 @@ def test_components_of_a_long_path(spark):
     path = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = common.components(path).collect()
     assert {r.node for r in got} == set(range(1, n + 1)) and {r.root for r in got} == {0}
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_deduplicated_takes_similar_texts_that_op2_leaves(spark):
+    r = random.Random(5)
+    texts, pairs = [], []
+    for _ in range(30):
+        words = [f"w{r.randrange(10_000)}" for _ in range(120)]
+        near, far = list(words), list(words)
+        for at in (10, 60):
+            near[at] = f"n{r.randrange(10_000)}"
+        for at in range(5, 120, 20):
+            far[at] = f"f{r.randrange(10_000)}"
+        pairs.append(len(texts))
+        texts += [" ".join(x) for x in (words, near, far)]
+    hub = [f"h{i}" for i in range(150)]  # a bucket of many near copies
+    texts += [" ".join([*hub[:at], f"c{at}", *hub[at + 1 :]]) for at in range(0, 150, 5)]
+    for i in pairs:
+        assert jaccard(texts[i], texts[i + 1]) >= 0.8 > jaccard(texts[i], texts[i + 2])
+    assert sum((op.fingerprint(texts[i]) ^ op.fingerprint(texts[i + 1])).bit_count() > op.RADIUS for i in pairs) > 10
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    fps = {i: op.fingerprint(t) for i, t in enumerate(texts)}
+    up = dict(enumerate(range(len(texts))))
+    for a in fps:
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3 or jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = up[a], up[b]
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    got = sorted(x.doc_id for x in op.deduplicated(df, alike=True).collect())
+    assert got == sorted(set(up.values())) and len(got) <= 61
