@@ -3,7 +3,8 @@
 Every e-mail address, IP address, card and phone number is a protected entity. Words within WINDOW words of
 its mentions are its candidates. Over the corpus, the pointwise mutual information of a candidate and the
 entity, as a share of the entity's own information, tells how much of the entity the term gives away; terms
-at GENERALISE or more become a placeholder and at REMOVE or more go. Spans are in code points.
+at GENERALISE or more become a placeholder and at REMOVE or more go, wherever they stand in any document. Spans are
+in code points.
 """
 
 from __future__ import annotations
@@ -158,20 +159,33 @@ def term_spans(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     shares = disclosing(found, docs)
     if shares is None or shares.isEmpty():
         return None
-    near = found.where("size(_near) > 0").select("doc_id", "_h", F.explode("_near").alias("x")).select("doc_id", "_h", "x.entity", "x.term", "x.s", "x.e")
-    hit = near.join(shares, ["entity", "term"]).groupBy("doc_id", "_h", "s", "e").agg(F.max("share").alias("share"))
-    span = F.struct("s", F.lit(len(MASK)).alias("k"), "e", F.when(F.col("share") >= REMOVE, "").otherwise("<TERM>").alias("v"))
-    return cut(hit.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.array_sort(F.collect_set(span)).alias("_terms")))
+    of_term = cut(shares.groupBy(F.col("term").alias("_w")).agg(F.max("share").alias("share")))
+    few = of_term.count()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+    tokens = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(own)).alias("_t"))
+    word = F.struct(F.col("_w").alias("w"), F.when(F.col("share") >= REMOVE, "").otherwise("<TERM>").alias("v"))
+    hit = join_small(tokens, of_term, F.col("_t") == F.col("_w"), few)
+    hit = cut(hit.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.collect_set(word).alias("_words")))
+    here = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("_t"))
+    here = join_small(here, hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), hit.count()).dropDuplicates(["_id", "_g"])
+
+    def placed(by: Column) -> Column:
+        struct = lambda x: F.struct(x["s"].alias("s"), F.lit(len(MASK)).alias("k"), x["e"].alias("e"), by[F.lower(x["v"])].alias("v"))
+        return F.transform(F.filter(matches(F.col("_t"), TERM), lambda x: by[F.lower(x["v"])].isNotNull()), struct)
+
+    here = here.select("_id", "_g", F.explode(F.array(base_spans(F.col("_t")))).alias("_base"), let(F.map_from_entries("_words"), placed).alias("_all"))
+    free = F.filter("_all", lambda t: ~F.exists("_base", lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))
+    return cut(here.select("_id", "_g", free.alias("_terms")))
 
 
 def with_terms(df: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """Add _all, base and term spans, to rows with doc_id, _h and _spans. Only rows with an entity are joined."""
+    """Add _all, base and term spans, to rows with doc_id, _h and _spans."""
     if terms is None:
         return df.withColumn("_all", F.col("_spans"))
     few = terms.count() <= BROADCAST_ROWS
-    some = df.where("size(_spans) > 0").join(F.broadcast(terms) if few else terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    some = some.withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.array().cast(KINDED))))).drop("_id", "_g", "_terms")
-    return df.where("size(_spans) = 0").withColumn("_all", F.col("_spans")).unionByName(some)
+    some = df.join(F.broadcast(terms) if few else terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    return some.withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.array().cast(KINDED))))).drop("_id", "_g", "_terms")
 
 
 def listed(spans: Column) -> Column:

@@ -113,3 +113,17 @@ def test_sanitised_masks_base_spans(edge):
     assert got.columns == edge.columns and got.count() == edge.count()
     by = {r.doc_id: r for r in got.collect()}
     assert by[7].text.startswith("Mail <EMAIL> or <PHONE>") and "4111" not in by[7].text and by[1].text is None and by[1].n_chars is None
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    filler = [(100 + i, f"nothing private in number {i} of these plain documents", "en", "web", 1) for i in range(200)]
+    far = " ".join(f"word{i}" for i in range(20))
+    mentions = [(i, f"{w} please ask Quaxomir at jane@corp.example for papers {far} and QUAXOMIR again", "en", "web", 1) for i, w in enumerate(("today", "later", "maybe", "never"))]
+    other = [(50, "a text that names no address but tells of Quaxomir, and of Quaxomirs", "en", "web", 1)]
+    df = spark.createDataFrame(mentions + other + filler, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in op.sanitised(df).collect()}
+    assert not any("quaxomir " in got[i].text.lower() for i in range(4))
+    assert "Quaxomir," not in got[50].text and got[50].text.endswith("and of Quaxomirs") and got[50].n_chars == len(got[50].text)
+    spans = {r.doc_id: r.spans for r in op.report(df).collect()}
+    at = other[0][1].index("Quaxomir")
+    assert spans[50] == f"term:{at}:{at + 8}" and spans[0].count("term:") > 1
