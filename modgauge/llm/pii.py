@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, join_small, let
+from .common import BLANKS, BROADCAST_ROWS, cut, join_small, let
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive forms of the patterns: they match the same leftmost spans without backtracking, in linear time.
@@ -29,7 +29,7 @@ HINT = {"email": "@[A-Za-z0-9-]++\\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r
 WINDOW, SUPPORT = 8, 3
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}[\p{L}\p{N}'-]{2,}+"
-#: Characters looked at on either side of a mention, and matches whose lengths are summed at once.
+#: Characters looked at first on either side of a mention, and matches whose lengths are summed at once.
 REACH, BLOCK = 400, 128
 SPANS, KINDED = "array<struct<s:int,e:int,v:string>>", "array<struct<s:int,k:int,e:int,v:string>>"
 MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -103,18 +103,47 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(k, kind) for k, kind in enumerate(MASK)]))
 
 
+def whole_window(sizes: list[int], chunk, pattern: str, trim, rest: Column) -> Column:
+    """What pattern finds in the first chunk that holds all WINDOW words, or in the whole side of length rest."""
+    if not sizes:
+        return F.regexp_extract(chunk(rest), pattern, 0)
+
+    def tried(x: Column) -> Column:
+        done = (rest <= sizes[0]) | (F.length(trim(x["c"], F.lit(BLANKS))) > F.length(x["w"]))
+        return F.when(done, x["w"]).otherwise(whole_window(sizes[1:], chunk, pattern, trim, rest))
+
+    found = lambda c: F.struct(c.alias("c"), F.regexp_extract(c, pattern, 0).alias("w"))
+    return let(let(chunk(F.least(rest, F.lit(sizes[0]))), found), tried)
+
+
+def before(text: Column, s: Column) -> Column:
+    """The WINDOW words before place s, and what is joined to the mention there."""
+    pattern = rf"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{WINDOW}}}[^\x20\x09-\x0D]*+\z"
+    return whole_window([REACH, 16 * REACH], lambda n: F.substring(text, s - n + 1, n), pattern, F.ltrim, s)
+
+
+def after(text: Column, e: Column) -> Column:
+    """What is joined to the mention that ends at e, and the WINDOW words after it."""
+    pattern = rf"^[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{WINDOW}}}"
+    return whole_window([REACH, 16 * REACH], lambda n: F.substring(text, e + 1, n), pattern, F.rtrim, F.length(text) - e)
+
+
 def contexts(text: Column, spans: Column) -> Column:
     """The words around each mention, as an array of (entity, context, term, s, e); context tells windows apart."""
 
     def around(m: Column) -> Column:
-        left = F.regexp_extract(F.substring(text, F.greatest(m["s"] - REACH, F.lit(0)) + 1, F.least(m["s"], F.lit(REACH))), rf"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{WINDOW}}}$", 0)
-        right = F.regexp_extract(F.substring(text, m["e"] + 1, F.lit(REACH)), rf"^(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{WINDOW}}}", 0)
-        entity = F.concat_ws(":", m["k"].cast("string"), F.lower(m["v"]))
+        left, right = before(text, m["s"]), after(text, m["e"])
+
+        def rows(sides: Column) -> Column:
+            left, right = sides["l"], sides["r"]
+            entity = F.concat_ws(":", m["k"].cast("string"), F.lower(m["v"]))
+
+            def row(at: Column):
+                return lambda x: F.struct(entity.alias("entity"), F.xxhash64(left, right).alias("context"), F.lower(x["v"]).alias("term"), (at + x["s"]).alias("s"), (at + x["e"]).alias("e"))
 
-        def row(at: Column):
-            return lambda x: F.struct(entity.alias("entity"), F.xxhash64(left, right).alias("context"), F.lower(x["v"]).alias("term"), (at + x["s"]).alias("s"), (at + x["e"]).alias("e"))
+            return F.concat(F.transform(matches(left, TERM), row(m["s"] - F.length(left))), F.transform(matches(right, TERM), row(m["e"])))
 
-        return F.concat(F.transform(matches(left, TERM), row(m["s"] - F.length(left))), F.transform(matches(right, TERM), row(m["e"])))
+        return let(F.struct(left.alias("l"), right.alias("r")), rows)
 
     all_of = F.flatten(F.transform(spans, around))
     free = F.filter(all_of, lambda t: ~F.exists(spans, lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import regex
+from pyspark.sql import functions as F
 
 from modgauge.llm import pii as op
 
@@ -127,3 +128,22 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     spans = {r.doc_id: r.spans for r in op.report(df).collect()}
     at = other[0][1].index("Quaxomir")
     assert spans[50] == f"term:{at}:{at + 8}" and spans[0].count("term:") > 1
+
+
+def test_windows_hold_whole_words_on_either_side(spark):
+    long = "x" * 900
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    texts = [
+        "one two (a@b.c), three four", "mailto:a@b.c. Then go on", "a b c d e f g h i j k a@b.c, l m n o p q r s t u v", f"near {long} b a@b.c {long} {long} far",
+        "a@b.c", "a b c d e f g h i\na@b.c", "  a@b.c  ", "t\na@b.c\n" + " " * 7000 + "u v", f"w {long * 9} a@b.c;{long * 9} z",
+    ]
+    df = spark.createDataFrame([(i, t, t.index("a@b.c")) for i, t in enumerate(texts)], "i int, t string, s int")
+    got = {r.i: (r.l, r.r) for r in df.select("i", op.before(F.col("t"), F.col("s")).alias("l"), op.after(F.col("t"), F.col("s") + 5).alias("r")).collect()}
+    for i, t in enumerate(texts):
+        left, right = t.split("a@b.c")
+        l, r = got[i]
+        assert left.endswith(l) and right.startswith(r)
+        parts = blank.split(left)
+        assert [x for x in blank.split(l) if x] == [x for x in [*[p for p in parts[:-1] if p][-8:], parts[-1]] if x]
+        parts = blank.split(right)
+        assert [x for x in blank.split(r) if x] == [x for x in [parts[0], *[p for p in parts[1:] if p][:8]] if x]
