@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,19 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest table, in counted rows, that is offered for broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of text that a worker turns into strings at once.
+PART_BYTES = 2_000_000
+
+
+def parts_of(texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive parts of a batch's texts as (place, strings), of about so many bytes and one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield at, texts.slice(at, end - at).to_pylist()
+        at = end
 
 
 def shared_dir(spark: SparkSession) -> str:

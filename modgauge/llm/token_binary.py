@@ -14,41 +14,34 @@ which is read without the bytes.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, slices
-from .common import stored
+from .bpe import byte_letters
+from .common import parts_of, stored
 
 END = 0
 #: Stands for a null doc_id, which comes first in the order.
 NO_ID = -(1 << 63)
 BLOCK_IDS, CHUNK_IDS, LEVEL = 1 << 16, 1 << 18, 1
-#: Chunks of text between spaces whose ids a worker keeps.
-CACHED = 1_250_000
 CHUNKS = "shard int, chunk int, n_docs int, n_ids long, first_id long, data binary"
-#: Signs that often end a word; a run of them is a word of its own.
-STOPS = ".,;:!?)"
-#: How byte-level vocabularies cut words.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space before a space, or a special token: only texts with one of these are searched for FRAGILE. Texts of ASCII alone have no wide one.
-SIGNS = ("  ", "\n ", "\t ", "\r ", "<|", *"\x0b\x0c\x1c\x1d\x1e\x1f")
-WIDE_SIGNS = (*"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-#: Where a cut at single spaces could change the ids: white space around a space, or a special token.
-FRAGILE = re.compile(r"\s\x20(?:\s|\Z)|<\|")
+#: The file's cutting of words that PIECE stands for.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: The same cutting with the commonest case first; no two cases but the last two begin alike, so their order is free.
+PIECE = r" ?(?:\p{L}+|\p{N}+)|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with a whole blank stretch of so many characters go to the library: looking back over a very long one fills tiktoken's stack.
+BLANK = 500
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -86,104 +79,40 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths.astype(np.int64), ids[:n]
 
 
-class _Places(dict):
-    """Numbers for parts of texts, in order of first sight; new ones wait to be encoded."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        self.new.append(part)
-        n = self[part] = len(self)
-        return n
-
-
 class Encoder:
-    """Ids of texts by a byte-level vocabulary of the tokenizers library.
+    """Ids of texts by a byte-level vocabulary file of the tokenizers library, and equal to that library's.
 
-    Such a vocabulary joins a single space to the run after it, so a text is the sum of its parts from
-    space to space; each distinct part goes through the library once. Texts where a cut could matter go whole.
+    The library itself encodes texts that hold an added token or a long blank stretch, and all texts where the
+    file's merges aren't in the order of their ids. All others go through tiktoken with the file's own vocabulary,
+    which needs no cache of words and so no memory that grows with the corpus.
     """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.letter = dict(enumerate(byte_letters()))
-        self.clear()
-
-    def clear(self) -> None:
-        self.at, self.word = _Places(), {}
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def model_ids(self, piece: str) -> list[int]:
-        """Ids of one word as the library cuts it."""
-        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letter))]
-
-    def composed(self, part: str) -> list[int]:
-        """Ids of a part that is not letters alone, from those of its words, or from the library where these may be cut otherwise."""
-        bare = part.rstrip(STOPS)
-        if bare.isalpha() and bare != part:  # letters, then one run of signs
-            return self.model_ids(" " + bare) + self.sign(part[len(bare) :])
-        if part[:2] == "  ":
-            return self.whole([part[2:]])[0]
-        if not part or "<|" in part or not part.isprintable() and any(x and x.split() != [x] for x in part.split("\n")):
-            return self.whole([" " + part])[0]
-        out: list[int] = []
-        for piece in PIECE.findall(" " + part):
-            if piece.isalpha() or piece[0] == " ":
-                out += self.model_ids(piece)
-            else:
-                out += self.sign(piece)
-        return out
-
-    def sign(self, piece: str) -> list[int]:
-        if piece not in self.word:
-            self.word[piece] = self.model_ids(piece)
-        return self.word[piece]
-
-    def learn(self) -> None:
-        """Encode the new parts by the library's model.
-
-        Parts stand without their space, and the first of a text behind two spaces, which no other part has.
-        """
-        parts, self.at.new = self.at.new, []
-        tokenize = self.library.model.tokenize
-        got = [[t.id for t in tokenize("\u0120" + p)] if p.isascii() and p.isalpha() else self.model_ids(" " + p) if p.isalpha() else self.composed(p) for p in parts]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list = [np.zeros(0, np.uint32)] * len(texts)
-        if len(self.at) > CACHED:
-            self.clear()
-        plain, places = [], []
-        for i, t in enumerate(texts):
-            if t and (any(map(t.__contains__, SIGNS)) or not t.isascii() and any(map(t.__contains__, WIDE_SIGNS))) and FRAGILE.search(t):
-                out[i] = np.array(self.whole([t])[0], np.uint32)
-            elif t:
-                parts = t.split(" ")
-                parts[0] = "  " + parts[0]
-                plain.append(i)
-                places.append(np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts)))
-        if self.at.new:
-            self.learn()
-        if plain:
-            k = np.concatenate(places)
-            length = self.length[k]
-            ends = np.cumsum(length)
-            ids = self.flat[np.repeat(self.start[k] - ends + length, length) + np.arange(ends[-1])]
-            for i, one in zip(plain, np.split(ids, ends[np.cumsum([*map(len, places)])[:-1] - 1]), strict=True):
-                out[i] = one
-        return out
+        spec = json.loads(content)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        byte = {x: b for b, x in enumerate(byte_letters())}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        self.fast = None
+        if spec["pre_tokenizer"] == BYTE_LEVEL and not spec["normalizer"] and merged == [*range(256, 256 + len(merged))]:
+            ranks = {bytes(byte[x] for x in t): i for t, i in vocab.items()}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={})
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        odd = self.fast is None or any(map(text.__contains__, self.added)) or any(text[i : i + BLANK].isspace() for i in range(0, len(text), BLANK))
+        return np.array(self.whole(text) if odd else self.fast.encode_ordinary(text), np.uint32)
 
 
 @cache
@@ -210,15 +139,13 @@ def write(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": chunk, "n_docs": len(held), "n_ids": size, "first_id": first, "data": data}], schema=SCHEMA)
 
         for batch in batches:
-            keys, at = batch.column(0).to_pylist(), 0
-            for part in slices(batch.column(1).to_pylist()):
-                for doc, ids in zip(keys[at : at + len(part)], encode(part), strict=True):
+            for at, part in parts_of(batch.column(1)):
+                for doc, ids in zip(batch.column(0).slice(at, len(part)).to_pylist(), map(encode, part), strict=True):
                     held.append((doc, np.append(ids, np.uint32(END))))
                     size += len(ids) + 1
                     if size >= CHUNK_IDS:
                         yield flush()
                         chunk, first, held, size = chunk + 1, first + size, [], 0
-                at += len(part)
         if held:
             yield flush()
 
@@ -255,7 +182,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """Contract of op4: ids by byte_bpe_50k.json with id 0 at each end, written in doc_id order and read back.
 
     Null texts count as empty and hold the end id alone. Rows that repeat a doc_id follow one another, in order
-    of their texts; rows without a doc_id come first of all. Empty tables store no chunk.
+    of their texts; rows without a doc_id come first of all. Empty tables store no chunk. Other columns are ignored.
     """
     import public_tokenizers
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -48,9 +49,18 @@ def test_encoder_equals_library(encoder, library):
     bits = ["a", "the", "Word", "'s", "'ll", "''", "1", "2025", "³", "é", "ß", "日本", "🙂", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", "‍", "﻿", ".", "...", "<|endoftext|>", "<|", "|>", "-", "_", "\x00", "́", "०", "ǅ", " "]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(6000)] + ["", " ", "  ", "a b", " a", "a ", "\n a"]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    for at in range(0, len(texts), 500):
-        for t, ids, w in zip(texts[at : at + 500], encoder(texts[at : at + 500]), want[at : at + 500], strict=True):
-            assert ids.tolist() == w, repr(t)
+    for t, w in zip(texts, want, strict=True):
+        assert encoder(t).tolist() == w, repr(t)
+
+
+def test_encoder_on_long_runs_and_without_order(encoder, library):
+    for t in ("a" * 300_000, " " * 200_000, "x" + "\n" * 5000 + "y", "\u3000" * 999 + " b", "1" * 5000, "ab<|endoftext|>cd", "日本" * 20_000, "?! " * 10_000):
+        assert encoder(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    with open(PATH) as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    other = op.Encoder(json.dumps(spec).encode())
+    assert other.fast is None and other("the word").tolist() == Tokenizer.from_str(json.dumps(spec)).encode("the word").ids
 
 
 @pytest.mark.parametrize("n", [0, 1, op.BLOCK_IDS - 1, op.BLOCK_IDS, op.BLOCK_IDS + 1, 3 * op.BLOCK_IDS + 7])
