@@ -13,22 +13,28 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of sample text a language (the dictionary), characters of a document that may be in it, and languages.
-DICTIONARY, SAMPLE_CHARS, LANGUAGES = 96 << 10, (200, 20_000), 256
+from .common import parts_of
+
+#: Bytes of sample text a language (the dictionary), characters that one document may give to it, and characters of all languages.
+DICTIONARY, SLICE, ALL_CHARS = 96 << 10, 20_000, 32 << 20
 #: Characters compressed at once; whole texts are the sum of their blocks.
 BLOCK, LEVEL = 4096, 9
 #: Share of the best size by which the second must be larger, or the answer counts as rejected.
 MARGIN = 0.01
 UNKNOWN = "und"
-OTHER = re.compile(r"[\W\d_]+")
+#: All but letters and numbers that are no digits, and those numbers, which only texts beyond ASCII have.
+OTHER, NUMBER = re.compile(r"[\W\d_]+"), regex.compile(r"[^\p{L} ]+")
 
 
 def letters(text: str | None) -> str:
-    return OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters in words divided by single spaces; empty where the text has no letter."""
+    plain = OTHER.sub(" ", (text or "").lower())
+    return " ".join((plain if plain.isascii() else NUMBER.sub(" ", plain)).split())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,24 +44,28 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, chars: int = DICTIONARY) -> dict[str, str]:
     """Up to about chars characters of text for each language, from documents that may be learnt from.
 
-    Documents are drawn by a hash of doc_id at a rate that follows from each language's count, so that the
-    sample on the driver is bounded by LANGUAGES * chars whatever the input. This is the classifier's only bound.
+    Documents of every length are drawn by a hash of doc_id, at a rate that follows from their language's characters; a
+    long one gives SLICE characters from a place of that hash. The sample on the driver is bounded by ALL_CHARS, which many languages share
+    alike, whatever the input. This is the classifier's only bound.
     """
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     size = F.length("text")
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & size.between(*SAMPLE_CHARS)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = usable.groupBy("lang").agg(F.sum(size).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    piece = F.substring(F.col("text"), (F.floor(draw * F.greatest(size - SLICE, F.lit(0))) + 1).cast("int"), F.lit(SLICE))
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), piece.alias("text"), draw.alias("draw"))
+    counts = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy("lang").collect()
     if not counts:
         return {}
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2.0 * chars / r["n"])) for r in counts])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chars = min(chars, ALL_CHARS // len(counts))
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2.0 * chars / r["n"])])
     out: dict[str, list[str]] = {}
-    for r in usable.where(draw < rate).orderBy(draw, "doc_id", "text").select("lang", "text").collect():
+    for r in usable.where(F.col("draw") < F.element_at(rates, F.col("lang"))).orderBy("draw", "doc_id", "text").select("lang", "text").collect():
         parts = out.setdefault(r["lang"], [])
         if sum(map(len, parts)) < chars:
             parts.append(letters(r["text"]))
     for r in counts:  # a language of few documents may have drawn none
-        if not out.get(r["lang"]):
-            out[r["lang"]] = [letters(x["text"]) for x in usable.where(F.col("lang") == r["lang"]).orderBy(draw, "doc_id", "text").limit(20).collect()]
+        if not "".join(out.get(r["lang"], [])):
+            out[r["lang"]] = [letters(x["text"]) for x in usable.where(F.col("lang") == r["lang"]).orderBy("draw", "doc_id", "text").limit(20).collect()]
     return {k: " ".join(v) for k, v in sorted(out.items())}
 
 
@@ -89,7 +99,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = compressors(sent.value)
         for batch in batches:
-            got = [identify(t, packers) for t in batch.column(2).to_pylist()]
+            got = [identify(t, packers) for _, part in parts_of(batch.column(2)) for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "confident"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, confident boolean")
@@ -98,8 +108,9 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 def languages(docs: DataFrame) -> DataFrame:
     """Contract of op1: doc_id, held_out, lang_pred, score (and confident, false where the margin is narrow).
 
-    Null texts and texts without a letter are "und" with score 0, as is everything where no language can be learnt.
+    Null texts and texts without a letter (of Unicode's category L) are "und" with score 0, as is everything where no language can be learnt.
     Documents without a lang are predicted too. Repeated rows are predicted one by one; an empty table gives no row.
+    Ties go to the language first by code point. Other columns are ignored.
     """
     return predict(docs, sample(docs))
 
