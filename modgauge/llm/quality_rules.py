@@ -1,10 +1,12 @@
 """Quality rules, natively: base rules, then robust multivariate outliers by language and source.
 
 Each document's statistics become a vector of transformed values, kept as whole thousandths so that sums are
-exact and reruns agree. For each (lang, source) a minimum-covariance-determinant estimate starts from medians
-and median deviations and takes concentration steps: the COVERAGE share of documents nearest by Mahalanobis
-distance gives the next mean and covariance. Documents beyond CUTOFF are rejected. Everything runs as column
-expressions; the estimates are a small table, a row a group, whose triangular factor is worked out in columns.
+exact and reruns agree. For each (lang, source) a minimum-covariance-determinant estimate takes concentration
+steps from three starts about the medians (median deviations alone, spatial signs, and hyperbolic tangents of the
+scaled values): the COVERAGE share of documents nearest by Mahalanobis distance gives the next mean and covariance.
+The start with the least determinant goes on alone. Documents beyond CUTOFF are rejected. A group of few documents
+is judged by the estimate of its language, and one of a language of few by that of all documents. Everything
+runs as column expressions; the estimates are a small table, whose triangular factor is worked out in columns.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, SPACE, cut, join_small, let, words
+from .common import BLANKS, BROADCAST_ROWS, SPACE, cut, join_small, let, words
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
-COVERAGE, STEPS = 0.75, 4
+COVERAGE = 0.75
+#: Concentration steps from each start, and those of the best one after them.
+TRIAL_STEPS, LAST_STEPS = 2, 2
 #: Squared distance beyond which a document goes. The 0.9999 quantile of chi-squared with six degrees of freedom
 #: is 27.9, but lengths and counts have heavier tails than normal values; ten deviations leave clean texts alone.
 CUTOFF = 100.0
@@ -24,7 +28,7 @@ MEDIAN = 5.348
 #: Least spread of each value, and the weight (in documents) of a diagonal of these in the covariance.
 SPREAD = (0.8, 0.4, 0.7, 0.7, 0.15, 0.7)
 PRIOR = 20.0
-#: Groups of fewer documents keep all that pass the base rules: they are too few for an estimate.
+#: Groups of fewer documents that pass the base rules are judged by a wider estimate.
 LEAST_GROUP = 20
 P = len(SPREAD)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -69,8 +73,8 @@ def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Statistics, base verdict, group key and vector of every document, and the document as _doc if asked for."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     group = F.concat_ws("\x01", key("lang"), key("source"))
-    df = docs.select("doc_id", group.alias("_g"), F.explode(F.array(base_statistics(F.col("text")))).alias("_s"), *[F.struct("*").alias("_doc")] * whole)
-    df = df.select("doc_id", "_g", *[f"_s.{c}" for c in (*BASE, "n_upper")], *["_doc"] * whole)
+    df = docs.select("doc_id", group.alias("_g"), key("lang").alias("_lang"), F.explode(F.array(base_statistics(F.col("text")))).alias("_s"), *[F.struct("*").alias("_doc")] * whole)
+    df = df.select("doc_id", "_g", "_lang", *[f"_s.{c}" for c in (*BASE, "n_upper")], *["_doc"] * whole)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * F.col("n_words"))
     share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
     values = (F.log1p("n_words"), share("word_chars", "n_words"), F.log1p(1000 * share("n_symbols", "word_chars")), F.log1p("n_dup_lines"), F.sqrt(share("n_repeat_words", "n_words")), F.log1p(1000 * share("n_upper", "word_chars")))
@@ -82,14 +86,14 @@ X = [f"_x{i}" for i in range(P)]
 
 
 def factored(sums: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group from _n, _m0.. (means) and _c00.. (covariances), shrunk to SPREAD."""
+    """Mean and Cholesky factor of each (_g, _k) from _n, _m0.. (means) and _c00.. (covariances), shrunk to SPREAD."""
     cells = []
     for i, j in LOWER:
         prior = f" + {SPREAD[i] ** 2}D * (1.05D - _n / (_n + {PRIOR}D))" if i == j else ""
         rest = "".join(f" - _l{i}{k} * _l{j}{k}" for k in range(j))
         value = f"_n / (_n + {PRIOR}D) * _c{i}{j}{prior}{rest}"
         cells.append(f"sqrt({value}) AS _l{i}{j}" if i == j else f"({value}) / _l{j}{j} AS _l{i}{j}")
-    return sums.selectExpr("_g", "_n", *[f"_m{i}" for i in range(P)], *cells)
+    return sums.selectExpr("_g", "_k", "_n", *[f"_m{i}" for i in range(P)], *cells)
 
 
 def distance(df: DataFrame) -> DataFrame:
@@ -98,55 +102,102 @@ def distance(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *ys, " + ".join(f"_y{i} * _y{i}" for i in range(P)) + " AS _d2").drop(*[f"_y{i}" for i in range(P)])
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
-    """Robust mean, factor and _scale of each group of rows, by its documents that pass the base rules.
+def levels(rows: DataFrame) -> DataFrame:
+    """(_g, _e, _keys) of each group: the key of the estimate that judges it, and those its documents count for.
 
-    Medians and quantiles are exact over values of bounded number (thousandths, hundredths of a logarithm).
+    The documents of a large group count for their own estimate, and for a wider one where a small group needs that.
     """
-
-    def grouped(df: DataFrame, *aggregates: str) -> DataFrame:
-        return df.groupBy("_g").agg(*map(F.expr, aggregates))
-
-    def with_table(df: DataFrame, table: DataFrame) -> DataFrame:
-        return join_small(df, table.withColumnRenamed("_g", "_h"), F.col("_g") == F.col("_h"), groups)
-
-    rows = rows.where("not base_failed").select("_g", *X)
-    mid = cut(grouped(rows, "count(*) AS _n", *[f"percentile(_x{i}, 0.5D) AS _p{i}" for i in range(P)]))
-    groups = mid.count()
-    off = [f"max(_p{i}) / 1000 AS _m{i}" for i in range(P)] + [f"percentile(abs(_x{i} - _p{i}), 0.5D) * 0.0014826D AS _w{i}" for i in range(P)]
-    start = grouped(with_table(rows, mid), "max(_n) AS _n", *off)
-    now = cut(factored(start.selectExpr("_g", "_n", *[f"_m{i}" for i in range(P)], *[f"_w{i} * _w{i} AS _c{i}{j}" if i == j else f"0D AS _c{i}{j}" for i, j in LOWER])))
-    level = "floor(100 * ln(greatest(_d2, 1e-6D))) AS _bin"
-    for _ in range(steps):
-        near = distance(with_table(rows, now)).selectExpr("_g", *X, level)
-        inner = with_table(near, grouped(near, f"percentile(_bin, {coverage}D) AS _b")).where("_bin <= _b")
-        sums = grouped(inner, "count(*) AS _n", *[f"sum(_x{i}) AS _s{i}" for i in range(P)], *[f"sum(_x{i} * _x{j}) AS _q{i}{j}" for i, j in LOWER])
+    n = rows.groupBy("_g", "_lang").agg(F.count("*").alias("n"))
+    by_lang = n.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    by_lang = by_lang.select(F.col("_lang").alias("_l"), F.when(F.col("n_lang") < LEAST_GROUP, 2).when(F.col("least") < LEAST_GROUP, 1).otherwise(0).alias("wide"))
+    top = by_lang.agg((F.coalesce(F.max("wide"), F.lit(0)) == 2).alias("any"))
+    t = n.join(by_lang, F.col("_lang") == F.col("_l")).crossJoin(top)  # one row on the right
+    own, lang, every = F.concat(F.lit("g"), "_g"), F.concat(F.lit("l"), "_lang"), F.lit("a")
+    large = F.col("n") >= LEAST_GROUP
+    keys = F.filter(F.array(F.when(large, own), F.when(F.col("wide") == 1, lang), F.when(F.col("any"), every)), lambda k: k.isNotNull())
+    return cut(t.select("_g", F.when(large, own).when(F.col("wide") == 1, lang).otherwise(every).alias("_e"), keys.alias("_keys")))
+
+
+def starts(rows: DataFrame, joined, by: list[str]) -> DataFrame:
+    """(_g, _k, _n, means, covariances): three starts of each group about its medians."""
+    mid = cut(rows.groupBy(by).agg(F.count("*").alias("_n"), *[F.expr(f"percentile(_x{i}, 0.5D) AS _p{i}") for i in range(P)]))
+    off = [f"max(_p{i}) AS _p{i}" for i in range(P)] + [f"percentile(abs(_x{i} - _p{i}), 0.5D) AS _w{i}" for i in range(P)]
+    wide = cut(joined(rows, mid).groupBy(by).agg(F.max("_n").alias("_n"), *map(F.expr, off)))
+    scaled = joined(rows, wide).selectExpr(*by, "_n", *[f"_p{i}" for i in range(P)], *[f"_w{i}" for i in range(P)], *[f"(_x{i} - _p{i}) / greatest(1.4826D * _w{i}, {500 * SPREAD[i]}D) AS _z{i}" for i in range(P)])
+    scaled = scaled.selectExpr("*", "sqrt(" + " + ".join(f"_z{i} * _z{i}" for i in range(P)) + ") AS _r")
+    micro = lambda x: f"sum(cast(round(1e6D * {x}) AS bigint))"
+    sign = [f"{micro(f'coalesce(_z{i} / nullif(_r, 0D) * (_z{j} / nullif(_r, 0D)), 0D)')} AS _s{i}{j}" for i, j in LOWER]
+    flat = [f"{micro(f'tanh(_z{i}) * tanh(_z{j})')} AS _t{i}{j}" for i, j in LOWER]
+    one = scaled.groupBy(by).agg(F.max("_n").alias("_n"), *[F.expr(f"max(_{c}{i}) AS _{c}{i}") for c in "pw" for i in range(P)], *map(F.expr, sign + flat))
+    of = {"s": " + ".join(f"_s{i}{i}" for i in range(P)), "t": " + ".join(f"_t{i}{i}" for i in range(P))}
+    width = lambda i: f"greatest(0.0014826D * _w{i}, {SPREAD[i] / 2}D)"
+    alone = ", ".join(f"{width(i)} * {width(i)} AS _c{i}{j}" if i == j else f"0D AS _c{i}{j}" for i, j in LOWER)
+    shapes = [", ".join(f"coalesce({P}D * _{c}{i}{j} / nullif({of[c]}, 0), 0D) * {width(i)} * {width(j)} AS _c{i}{j}" for i, j in LOWER) for c in "st"]
+    each = "explode(array(" + ", ".join(f"struct({k} AS _k, {x})" for k, x in enumerate((alone, *shapes))) + ")) AS _q"
+    return one.selectExpr(*by, "_n", *[f"_p{i} / 1000 AS _m{i}" for i in range(P)], each).selectExpr(*by, "_q._k", "_n", *[f"_m{i}" for i in range(P)], *[f"_q._c{i}{j}" for i, j in LOWER])
+
+
+def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Robust mean, factor and _scale for each group _h of rows, by documents that pass the base rules.
+
+    Medians and quantiles are exact over values of bounded number (thousandths, hundredths of a logarithm), and sums
+    are of whole numbers, so that reruns agree.
+    """
+    passed = rows.where("not base_failed")
+    level = levels(passed)
+    groups = level.count()
+    few = lambda df: F.broadcast(df) if groups <= BROADCAST_ROWS // 8 else df
+    key = level.select(F.col("_g").alias("_h"), "_keys")
+    rows = passed.join(few(key), F.col("_g") == F.col("_h")).select(F.explode("_keys").alias("_g"), *X)
+
+    def joined(df: DataFrame, table: DataFrame, on: tuple[str, ...] = ("_g",)) -> DataFrame:
+        return df.join(few(table), [*on])
+
+    def step(now: DataFrame) -> DataFrame:
+        near = distance(joined(rows, now)).selectExpr("_g", "_k", *X, level_of)
+        inner = joined(near, near.groupBy("_g", "_k").agg(F.expr(f"percentile(_bin, {coverage}D) AS _b")), ("_g", "_k")).where("_bin <= _b")
+        sums = inner.groupBy("_g", "_k").agg(F.count("*").alias("_n"), *[F.sum(f"_x{i}").alias(f"_s{i}") for i in range(P)], *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q{i}{j}") for i, j in LOWER])
         means = [f"_s{i} / _n / 1000 AS _m{i}" for i in range(P)]
-        now = cut(factored(sums.selectExpr("_g", "_n", *means, *[f"_q{i}{j} / _n / 1e6D - _m{i} * _m{j} AS _c{i}{j}" for i, j in LOWER])))
-    scale = grouped(distance(with_table(rows, now)).selectExpr("_g", level), "count(*) AS _all", f"greatest(1D, exp(percentile(_bin, 0.5D) / 100) / {MEDIAN}D) AS _scale")
-    return cut(now.drop("_n").withColumnRenamed("_g", "_h").join(scale, F.col("_h") == F.col("_g")).drop("_g"))
+        return cut(factored(sums.selectExpr("_g", "_k", "_n", *means, *[f"_q{i}{j} / _n / 1e6D - _m{i} * _m{j} AS _c{i}{j}" for i, j in LOWER])))
+
+    level_of = "floor(100 * ln(greatest(_d2, 1e-6D))) AS _bin"
+    now = cut(factored(starts(rows, joined, ["_g"])))
+    for _ in range(TRIAL_STEPS):
+        now = step(now)
+    size = " + ".join(f"ln(_l{i}{i})" for i in range(P))
+    now = now.selectExpr("_g", f"struct(round({size}, 9) AS size, _k, _n, {', '.join(now.columns[3:])}) AS _q").groupBy("_g").agg(F.min("_q").alias("_q")).select("_g", *[f"_q.{c}" for c in now.columns[1:]])
+    for _ in range(LAST_STEPS):
+        now = step(now)
+    scale = distance(joined(rows, now)).selectExpr("_g", level_of).groupBy("_g").agg(F.expr(f"greatest(1D, exp(percentile(_bin, 0.5D) / 100) / {MEDIAN}D) AS _scale"))
+    table = now.drop("_n", "_k").join(scale, "_g").withColumnRenamed("_g", "_key")
+    return cut(level.select(F.col("_g").alias("_h"), "_e").join(table, F.col("_e") == F.col("_key")).drop("_e", "_key"))
 
 
 def judged(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Add kept and the scaled squared distance; groups without an estimate keep what passes the base rules."""
-    df = rows.join(F.broadcast(table) if table.count() <= 100_000 else table, F.col("_g") == F.col("_h"), "left")
+    """Add kept and the scaled squared distance; groups without a document that passes the base rules have no estimate."""
+    df = join_small(rows, table, F.col("_g") == F.col("_h"), table.count(), "left")
     df = distance(df).withColumn("distance2", F.col("_d2") / F.col("_scale"))
-    far = F.coalesce((F.col("_all") >= LEAST_GROUP) & (F.col("distance2") > CUTOFF), F.lit(False))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far)
+    return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance2") > CUTOFF, F.lit(False)))
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """Contract of op3: doc_id, the base statistics, base_failed, kept (and distance2).
 
     A null text counts as empty, has no words and fails. Null languages and sources form groups of their
-    own. Repeated rows each count. Groups of fewer than LEAST_GROUP passing documents, and an empty table, need
-    no estimate. Windows are compared by 64-bit hashes of their three words. Other columns are ignored.
+    own. Repeated rows each count. Groups of fewer than LEAST_GROUP passing documents are judged by their language's
+    estimate, or by that of all documents where the language has as few. An empty table gives no row. Ties at a
+    quantile are all taken. Windows are compared by 64-bit hashes of their three words. Other columns are ignored.
     """
     rows = cut(measured(docs))
     return judged(rows, estimates(rows)).select("doc_id", *BASE, "base_failed", "kept", "distance2")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that rules() keeps: texts are measured again in place, so that only statistics are stored."""
+    """The documents that rules() keeps, with all their columns: texts are measured again in place, so that only
+    statistics are stored.
+
+    Null, empty and short texts go, as they fail the base rules; repeated rows are judged alike and all stay or go. An
+    empty table stays empty.
+    """
     table = estimates(cut(measured(docs)))
     return judged(measured(docs, whole=True), table).where("kept").select("_doc.*")
