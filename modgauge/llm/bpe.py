@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts_of
+
 NONE = np.int64(2**62)
-#: Cells of trees that step together, chunks kept by a worker, and characters taken from a batch at once.
-CELLS, CACHED, CHARS = 1 << 21, 300_000, 2_000_000
+#: Cells of trees that step together, and chunks kept by a worker (as many again may wait to be forgotten).
+CELLS, CACHED = 1 << 21, 300_000
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
 BREAK, ODD = re.compile(f"[{WHITE}]+"), re.compile("[\x1c-\x1f]")
@@ -55,6 +57,7 @@ class Bpe:
         self.made = np.zeros(max(self.rank, default=-1) + 1, np.int64)
         self.made[self.rank] = [pairs[k][1] for k in self.pairs.tolist()]
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NONE where it can't merge; ids below 0 stand for no symbol."""
@@ -134,9 +137,11 @@ class Bpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Keep what the unknown chunks encode to: number of ids, ids in decimals, tokens."""
-        if len(self.known) + len(chunks) > CACHED:
-            self.known.clear()
-        new = [x for x in chunks if x not in self.known]
+        if len(self.known) + len(chunks) > CACHED:  # what is not used again before the next time is forgotten then
+            self.old, self.known = self.known, {}
+        missing = [x for x in chunks if x not in self.known]
+        self.known.update((x, self.old[x]) for x in missing if x in self.old)
+        new = [x for x in missing if x not in self.old]
         cut = [[] if x[0] == " " else [x] if x.isalpha() else PIECE.findall(x) for x in new]
         pieces = list({p for ps in cut for p in ps})
         ids = dict(zip(pieces, self.merged([p.encode("utf-8", "surrogatepass") for p in pieces]), strict=True))
@@ -171,19 +176,6 @@ def loaded(content: bytes) -> Bpe:
     return Bpe(content)
 
 
-def slices(texts: list[str | None], chars: int = CHARS) -> Iterator[list[str | None]]:
-    """Consecutive parts of a batch of about so many characters, a text at least."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
@@ -199,14 +191,12 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         bpe = loaded(content.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(1).to_pylist()):
+            for at, part in parts_of(batch.column(1)):
                 rows = bpe.encode_decode(part)
                 columns = [batch.column(0).slice(at, len(part)), pa.array([x[0] for x in rows], pa.int64()), pa.array([sha(x[1]) for x in rows]), pa.array([sha(x[2]) for x in rows])]
                 if with_ids:
                     columns.append(pa.array([np.array(x[1].split(), np.int32) for x in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-                at += len(part)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -218,5 +208,9 @@ def word_vocabulary() -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Contract of op7 with the production vocabulary."""
+    """Contract of op7 with the production vocabulary.
+
+    Null, empty and blank texts have no ids and decode to nothing. Repeated rows and ties are encoded one by one; an
+    empty table gives no row; other columns are ignored.
+    """
     return encoded(docs, word_vocabulary())

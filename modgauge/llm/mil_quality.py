@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices
+from .common import parts_of
 
 PASSAGE = 64
 #: Documents to learn from, and characters each may have: the only bound, of the classifier's sample.
@@ -142,8 +142,8 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.withColumn("_draw", draw).where(F.col("_draw") < min(1.0, LEARN_DOCS / max(1, total))).orderBy("_draw", "_id", "_y").limit(2 * LEARN_DOCS)
     short = docs.where(F.length("text") <= LEARN_CHARS).select("doc_id", "text")
-    rows = short.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_draw", "_id", "_y", "text").collect()
-    rows.sort(key=lambda r: (r["_draw"], r["_id"], r["_y"], r["text"]))
+    rows = short.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_draw", "_id", "_y", "text")
+    rows = rows.orderBy("_draw", "_id", "_y", "text").limit(2 * LEARN_DOCS).collect()  # rows may repeat a doc_id
     y = np.array([float(r["_y"] > 0) for r in rows])
     model = Model(float(y.mean()) if len(y) else 0.5)
     return model.fit(*bags([r["text"] for r in rows]), y) if 0 < y.sum() < len(y) else model
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.concatenate([sent.value.score(part) for part in slices(batch.column(2).to_pylist())] or [np.zeros(0)])
+            score = np.concatenate([sent.value.score(part) for _, part in parts_of(batch.column(2))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -163,7 +163,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def quality(spark, sf_dir: str) -> DataFrame:
     """Contract of op8: doc_id, held_out, score, predicted.
 
-    Null, empty and blank texts are one passage of zeros and get its score. Repeated rows are scored one by one.
+    Null, empty and blank texts are one passage of zeros and get its score. Repeated rows are scored one by one; an
+    empty table gives no row, and without labels every score is 0.5. Other columns are ignored.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scored(docs, learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -63,3 +64,21 @@ def test_edges(spark, edge, empty):
     none = op.learnt(edge, labels.where("false"))
     assert {r.score for r in op.scored(edge, none).collect()} == {0.5}
     assert op.scored(empty, none).count() == 0
+
+
+def test_whole_table_against_plain_loops(spark, docs, sf_dir):
+    """Scores of the query against a document at a time, passage by passage, with the learnt weights."""
+    model = op.learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    w = model.w
+
+    def one(text):
+        h = [np.tanh(np.clip((x - model.mean) / model.scale, -6, 6) @ w["e"] + w["eb"]) for x in op.passages(text)]
+        raw = [float(((np.tanh(v @ w["v"]) / (1 + np.exp(-(v @ w["u"])))) @ w["a"])[0]) for v in h]
+        share = [math.exp(r - max(raw)) for r in raw]
+        z = sum(s * v for s, v in zip(share, h, strict=True)) / sum(share)
+        return 1 / (1 + math.exp(-float((z @ w["o"] + w["ob"])[0])))
+
+    got = {r.doc_id: r for r in op.quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        want = one(r.text)
+        assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
