@@ -57,7 +57,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
 
 def with_repetitions(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    more = F.coalesce(F.struct("_draw", "doc_id", "_size") <= F.col("last"), F.lit(False)).cast("long")
+    more = F.coalesce((F.col("_size") > 0) & (F.struct("_draw", "doc_id", "_size") <= F.col("last")), F.lit(False)).cast("long")
     return join_small(sizes, plan, F.col("source").eqNullSafe(F.col("_s")), plan.count()).withColumn("repeats", F.col("whole") + more).drop("_s", "whole", "last")
 
 
@@ -73,7 +73,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; rows taken no time at all are left out."""
+    """The documents themselves, each as often as the mix takes it; rows taken no time at all are left out.
+
+    A null or blank text has size 0 and takes the whole repetitions of its source and no more, so that none comes
+    more than three times; a source without any words is left out. Rows that repeat a document are rows of their own and
+    share its draw, so that ties are taken together. An empty table stays empty; other columns stay as they are.
+    """
     plan = mix_plan(cut(sized(docs)))
     out = with_repetitions(sized(docs, F.struct("*").alias("_doc")), plan).where("repeats > 0")
     return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_doc.*")

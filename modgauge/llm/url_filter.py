@@ -65,7 +65,8 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> Dat
 
     Without a list of canonical URLs the pages found through a feed (utm_source=feed in the query) give it.
     Where no rule fits, listed pages are blocked and the others allowed. A null url, or one without
-    "://", has empty host and path, no rule, and is allowed. Repeated rows are judged one by one.
+    "://", has empty host and path, no rule, and is allowed. Repeated rows are judged one by one. An empty table gives
+    no row; an empty list blocks nothing; other columns are ignored, whatever their names.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("_canonical", canonical(F.col("host"), F.col("path")))

@@ -61,3 +61,10 @@ def test_mixed_repeats_documents(edge):
     from pyspark.sql import functions as F
 
     assert got.select(F.sum(n_words(F.col("text")))).first()[0] == want
+
+
+def test_mixed_repeats_no_document_more_than_three_times(spark):
+    rows = [(i, t, "en", s, 1) for i, (t, s) in enumerate([("", "a"), (None, "a"), (" ", "a"), ("one two", "a"), *[("w " * 40, "b")] * 5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r["count"] for r in op.mixed(df).groupBy("doc_id").count().collect()}
+    assert got[3] == 3 and max(got.values()) == 3 and all(got.get(i, 0) <= 3 for i in range(3))

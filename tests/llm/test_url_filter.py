@@ -53,3 +53,10 @@ def test_exact_join_removes_false_positives(spark):
         got = op.in_list(pages, "k", listed, bits).where("listed").count()
         assert got == 1000
     assert op.in_list(pages, "k", listed.where("false")).where("listed").count() == 0
+
+
+def test_empty_table_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, host string, _key string, listed boolean")
+    assert op.judge(empty).count() == 0
+    one = spark.createDataFrame([(1, "http://a.net/x", "h", "k", True)], "page_id long, url string, host string, _key string, listed boolean")
+    assert [(r.host, r.rule, r.verdict) for r in op.judge(one).collect()] == [("a.net", "net/", "block")]
