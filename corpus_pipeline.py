@@ -20,22 +20,27 @@ from modgauge.llm.common import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null, empty and short texts go; repeated rows are judged alike; an empty table stays empty."""
     return quality_rules.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a word are near-duplicates of one another; rows that repeat id and text become one; ties go to the least doc_id."""
     return simhash.deduplicated(docs, alike=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; null texts stay null, repeated rows are masked alike, and an empty table stays empty."""
     return pii.sanitised(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null source is a source; no document comes more than three times; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no ids; repeated rows are encoded one by one; an empty table gives no row."""
     return bpe.encoded(docs, bpe.word_vocabulary(), with_ids=True)
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, parts_of
 
 RADIUS = 3
 SHINGLE = 3
@@ -32,8 +32,9 @@ SHORT_RUN = 8
 WIDE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 24, 5
 MIX = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-#: Buckets of so many texts are compared pair by pair; in longer ones a text at a time meets all others.
-SMALL_BUCKET = 8
+#: Buckets of so many texts are compared pair by pair; longer ones in chunks of about CHUNK texts, whose sets a worker
+#: holds; in buckets of more than one chunk single texts then meet all others, round by round, until all is compared.
+SMALL_BUCKET, CHUNK, FIRST_HUBS = 8, 512, 4
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t) for _, part in parts_of(batch.column(2)) for t in part], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long")
@@ -95,9 +96,9 @@ def banded(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
+            got = [(fingerprint(t), bands(t)) for _, part in parts_of(batch.column(2)) for t in part]
+            fps = np.array([x[0] for x in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
 
@@ -170,30 +171,89 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_links, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) of fingerprints from pairs (ka, kb, a, b) of text keys, where the exact sets are similar enough."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, set): the sorted five-word shingles of each wanted text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t, WIDE)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+            for at, part in parts_of(batch.column(1)):
+                sets = [np.unique(shingles(t, WIDE)).view(np.int64) for t in part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
+
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string")).join(wanted, "key", "left_semi")
+    return cut(texts.dropDuplicates(["key"]).mapInArrow(run, "key long, set array<long>"))
 
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints from pairs (ka, kb, a, b) of text keys, where the exact sets are similar enough."""
     pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = cut(texts.mapInArrow(run, "key long, set array<long>"))
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
     both = pairs.join(sets.toDF("ka", "sa"), "ka").join(sets.toDF("kb", "sb"), "kb")
     num, den = SIMILARITY
     alike = (num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.size("sa") + F.size("sb"))
     return cut(both.where(alike).select("a", "b").distinct())
 
 
+def _span(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of similar sets: breadth first, as in _search."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    places = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(places.max() + 1, bool)
+    num, den = SIMILARITY
+    found, rest, edge = [], np.arange(len(sets)), []
+    while len(rest):
+        x = edge.pop() if edge else rest[0]
+        rest = rest[rest != x]
+        own = places[starts[x] : starts[x] + sizes[x]]
+        near = rest[(den * sizes[rest] >= num * sizes[x]) & (den * sizes[x] >= num * sizes[rest])]
+        if len(near):
+            mark[own] = True
+            common = np.array([np.count_nonzero(mark[places[starts[y] : starts[y] + sizes[y]]]) for y in near.tolist()])
+            mark[own] = False
+            near = near[(num + den) * common >= num * (sizes[x] + sizes[near])]
+            found += [(fps[x], fps[y]) for y in near.tolist()]
+            edge += near.tolist()
+            rest = rest[~np.isin(rest, near)]
+    return found
+
+
+def spanned(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of similar texts within each chunk of a bucket; members has bucket, n, key, fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, fps, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            got = _span(fps, sets)
+            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in got], pa.int64()), pa.array([min(x) for x in got], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            values, ends = batch.column(3).flatten().to_numpy(), np.cumsum(batch.column(3).value_lengths().to_numpy())
+            for (key, fp), one in zip(zip(keys, batch.column(2).to_pylist(), strict=True), np.split(values, ends[:-1]), strict=True):
+                if key != group:
+                    if len(fps) > 1:
+                        yield done()
+                    group, fps, sets = key, [], []
+                fps.append(fp)
+                sets.append(one.copy())
+        if len(fps) > 1:
+            yield done()
+
+    sets = shingle_sets(docs, members.select("key").distinct())
+    chunk = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("n") / CHUNK))
+    rows = members.select("bucket", chunk.alias("chunk"), "key", "fp").join(sets, "key").select("bucket", "chunk", "fp", "set")
+    rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    return cut(rows.mapInArrow(run, "a long, b long").where("a <> b").distinct())
+
+
 def similar(of_doc: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """The known links and those of similar texts that share a band, as far as components need them.
 
-    Small buckets are compared pair by pair. In each larger one a text of its rarest component meets the texts of
-    all other components and leaves, until one component is left; a group of near copies takes one such round.
-    Each round takes texts of twice as many components as the one before, so that rounds and their plans stay few.
+    Small buckets are compared pair by pair, larger ones within chunks. In each bucket of several chunks, texts of its
+    rarest components then meet the texts of all other components and leave, until one component is left; a group of
+    near copies takes few such rounds. Each round takes texts of twice as many components as the one before.
     """
     text = F.struct("key", "fp")
     members = of_doc.dropDuplicates(["key"]).select("key", "fp", F.explode("bands").alias("bucket"))
@@ -203,8 +263,8 @@ def similar(of_doc: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     pair = small.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
     pair = pair.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     found = known.unionByName(verified(pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS), docs))
-    left = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "key", "fp")
-    take = 1
+    found = found.unionByName(spanned(members.where(F.col("n") > SMALL_BUCKET), docs))
+    left, take = members.where(F.col("n") > CHUNK).select("bucket", "key", "fp"), FIRST_HUBS
     while not left.isEmpty():
         now = left.join(components(found), F.col("fp") == F.col("node"), "left").select("bucket", "key", "fp", F.coalesce("root", "fp").alias("root"))
         classes = now.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(text).alias("x"))
@@ -255,7 +315,8 @@ def deduplicated(docs: DataFrame, alike: bool = False) -> DataFrame:
     components of their own and stay there. An empty table stays empty.
     """
     first = (rooted(cut(banded(docs)), docs) if alike else rooted(cut(fingerprints(docs)))).groupBy("root").agg(F.min("first").alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
-    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"), F.struct("*").alias("_doc"))
-    same = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text"))
-    return packed.join(keep, same, "left_semi").dropDuplicates(["_id", "_key"]).select("_doc.*")
+    named = lambda doc_id, key: [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_no"), key.alias("_key")]
+    keep = first.select(*named(F.col("first.doc_id"), F.col("first.key")))
+    packed = docs.select(*named(F.col("doc_id").cast("long"), text_key(F.col("text"))), F.struct("*").alias("_doc"))
+    # one shuffle by the three columns serves the join and the merging of rows that repeat a document
+    return packed.join(keep, ["_id", "_no", "_key"], "left_semi").dropDuplicates(["_id", "_no", "_key"]).select("_doc.*")

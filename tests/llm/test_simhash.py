@@ -124,3 +124,27 @@ def test_deduplicated_takes_similar_texts_that_op2_leaves(spark):
                 up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
     got = sorted(x.doc_id for x in op.deduplicated(df, alike=True).collect())
     assert got == sorted(set(up.values())) and len(got) <= 61
+
+
+def test_similar_texts_in_chunks_and_rounds(spark, monkeypatch):
+    """Chunks of four texts, so that every bucket of near copies needs rounds."""
+    monkeypatch.setattr(op, "CHUNK", 4)
+    monkeypatch.setattr(op, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(op, "FIRST_HUBS", 1)
+    r = random.Random(7)
+    base = [f"h{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in r.sample(range(100), r.choice((1, 2, 3, 4))):
+            words[at] = f"c{r.randrange(10_000)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    fps = {i: op.fingerprint(t) for i, t in enumerate(texts)}
+    up = dict(enumerate(range(len(texts))))
+    for a in fps:
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3 or jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = up[a], up[b]
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    assert sorted(x.doc_id for x in op.deduplicated(df, alike=True).collect()) == sorted(set(up.values()))
