@@ -32,9 +32,10 @@ SHORT_RUN = 8
 WIDE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 24, 5
 MIX = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-#: Buckets of so many texts are compared pair by pair; longer ones in chunks of about CHUNK texts, whose sets a worker
-#: holds; in buckets of more than one chunk single texts then meet all others, round by round, until all is compared.
-SMALL_BUCKET, CHUNK, FIRST_HUBS = 8, 512, 4
+#: Buckets of so many texts are compared pair by pair; longer ones in chunks of about CHUNK texts and CHUNK_WORDS shingles
+#: at most, whose sets a worker holds; in buckets of more than one chunk single texts then meet all others, round by
+#: round, until all is compared.
+SMALL_BUCKET, CHUNK, CHUNK_WORDS, FIRST_HUBS = 8, 4096, 4 << 20, 8
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -63,16 +64,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def bands(text: str | None) -> list[int]:
-    """Signed keys of the text's MinHash bands over five-word shingles; none where there is no word."""
+def bands(text: str | None) -> tuple[list[int], int]:
+    """Signed keys of the text's MinHash bands over five-word shingles, none where there is no word, and the number of these."""
     hashes = shingles(text, WIDE)
     if not len(hashes):
-        return []
+        return [], 0
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[at : at + 1024, None] * MIX).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), len(hashes)
 
 
 def text_key(text: Column) -> Column:
@@ -92,15 +93,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """fingerprints() and bands, the keys of the text's MinHash bands."""
+    """fingerprints(), bands (the keys of the text's MinHash bands) and words, the number of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(fingerprint(t), bands(t)) for _, part in parts_of(batch.column(2)) for t in part]
+            got = [(fingerprint(t), *bands(t)) for _, part in parts_of(batch.column(2)) for t in part]
             fps = np.array([x[0] for x in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.int64())], ["doc_id", "key", "fp", "bands", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>, words long")
 
 
 def _search(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -171,8 +172,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_links, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, set): the sorted five-word shingles of each wanted text, once each."""
+def named(doc_id: Column, key: Column) -> list[Column]:
+    """A document's id and text as columns that join without null-safe comparison."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_no"), key.alias("_key")]
+
+
+def shingle_sets(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, set): the sorted five-word shingles of each text, read from the one document that firsts (key, first) names.
+
+    Copies of a text are told apart by their ids, so that a large group of them lands in no single task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,15 +189,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [np.unique(shingles(t, WIDE)).view(np.int64) for t in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sets, pa.list_(pa.int64()))], ["key", "set"])
 
-    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string")).join(wanted, "key", "left_semi")
-    return cut(texts.dropDuplicates(["key"]).mapInArrow(run, "key long, set array<long>"))
+    wanted = firsts.select(*named(F.col("first.doc_id"), F.col("key")))
+    texts = docs.select(*named(F.col("doc_id").cast("long"), text_key(F.col("text"))), F.col("text").cast("string")).join(wanted, ["_id", "_no", "_key"], "left_semi")
+    once = texts.dropDuplicates(["_id", "_no", "_key"]).select(F.col("_key").alias("key"), "text")
+    return cut(once.mapInArrow(run, "key long, set array<long>"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of fingerprints from pairs (ka, kb, a, b) of text keys, where the exact sets are similar enough."""
-    pairs = cut(pairs.distinct())
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
-    both = pairs.join(sets.toDF("ka", "sa"), "ka").join(sets.toDF("kb", "sb"), "kb")
+    both = pairs.distinct().join(sets.toDF("ka", "sa"), "ka").join(sets.toDF("kb", "sb"), "kb")
     num, den = SIMILARITY
     alike = (num + den) * F.size(F.array_intersect("sa", "sb")) >= num * (F.size("sa") + F.size("sb"))
     return cut(both.where(alike).select("a", "b").distinct())
@@ -209,7 +218,10 @@ def _span(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         near = rest[(den * sizes[rest] >= num * sizes[x]) & (den * sizes[x] >= num * sizes[rest])]
         if len(near):
             mark[own] = True
-            common = np.array([np.count_nonzero(mark[places[starts[y] : starts[y] + sizes[y]]]) for y in near.tolist()])
+            if 4 * len(near) > len(sets):
+                common = np.add.reduceat(mark[places], starts, dtype=np.int64)[near]
+            else:
+                common = np.array([np.count_nonzero(mark[places[starts[y] : starts[y] + sizes[y]]]) for y in near.tolist()])
             mark[own] = False
             near = near[(num + den) * common >= num * (sizes[x] + sizes[near])]
             found += [(fps[x], fps[y]) for y in near.tolist()]
@@ -218,8 +230,8 @@ def _span(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def spanned(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of similar texts within each chunk of a bucket; members has bucket, n, key, fp."""
+def spanned(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of similar texts within each chunk of a bucket; members has bucket, chunks, key, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, fps, sets = None, [], []
@@ -241,8 +253,7 @@ def spanned(members: DataFrame, docs: DataFrame) -> DataFrame:
         if len(fps) > 1:
             yield done()
 
-    sets = shingle_sets(docs, members.select("key").distinct())
-    chunk = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("n") / CHUNK))
+    chunk = F.pmod(F.xxhash64("key", "bucket"), "chunks")
     rows = members.select("bucket", chunk.alias("chunk"), "key", "fp").join(sets, "key").select("bucket", "chunk", "fp", "set")
     rows = rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
     return cut(rows.mapInArrow(run, "a long, b long").where("a <> b").distinct())
@@ -256,15 +267,20 @@ def similar(of_doc: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     near copies takes few such rounds. Each round takes texts of twice as many components as the one before.
     """
     text = F.struct("key", "fp")
-    members = of_doc.dropDuplicates(["key"]).select("key", "fp", F.explode("bands").alias("bucket"))
-    sized = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(sized, "bucket"))
+    once = cut(of_doc.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("words").alias("words")))
+    members = once.select("key", "fp", "words", F.explode("bands").alias("bucket"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("words") / CHUNK_WORDS)).alias("chunks")
+    sized = members.groupBy("bucket").agg(F.count("*").alias("n"), chunks).where("n > 1")
+    members = cut(members.drop("words").join(sized, "bucket"))
     small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_list(text)).alias("all"))
     pair = small.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
     pair = pair.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    found = known.unionByName(verified(pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS), docs))
-    found = found.unionByName(spanned(members.where(F.col("n") > SMALL_BUCKET), docs))
-    left, take = members.where(F.col("n") > CHUNK).select("bucket", "key", "fp"), FIRST_HUBS
+    pair = cut(pair.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS).distinct())
+    large = members.where(F.col("n") > SMALL_BUCKET)
+    needed = pair.select(F.explode(F.array("ka", "kb")).alias("key")).union(large.select("key")).distinct()
+    sets = shingle_sets(docs, once.select("key", "first").join(needed, "key"))
+    found = cut(known.unionByName(verified(pair, sets)).unionByName(spanned(large, sets)))
+    left, take = members.where("chunks > 1").select("bucket", "key", "fp"), FIRST_HUBS
     while not left.isEmpty():
         now = left.join(components(found), F.col("fp") == F.col("node"), "left").select("bucket", "key", "fp", F.coalesce("root", "fp").alias("root"))
         classes = now.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(text).alias("x"))
@@ -273,7 +289,7 @@ def similar(of_doc: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
         if met.isEmpty():
             break
         pair = met.select("key", "fp", "root", F.explode("hubs").alias("hub")).where(F.col("root") != F.col("hub.root")).select(F.col("hub.x.key").alias("ka"), F.col("key").alias("kb"), F.col("hub.x.fp").alias("a"), F.col("fp").alias("b"))
-        found = cut(found.unionByName(verified(pair, docs)))
+        found = cut(found.unionByName(verified(pair, sets)))
         left = met.where(~F.exists("hubs", lambda h: h["x"]["key"] == F.col("key"))).select("bucket", "key", "fp")
         take *= 2
     return found
@@ -315,7 +331,6 @@ def deduplicated(docs: DataFrame, alike: bool = False) -> DataFrame:
     components of their own and stay there. An empty table stays empty.
     """
     first = (rooted(cut(banded(docs)), docs) if alike else rooted(cut(fingerprints(docs)))).groupBy("root").agg(F.min("first").alias("first"))
-    named = lambda doc_id, key: [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_no"), key.alias("_key")]
     keep = first.select(*named(F.col("first.doc_id"), F.col("first.key")))
     packed = docs.select(*named(F.col("doc_id").cast("long"), text_key(F.col("text"))), F.struct("*").alias("_doc"))
     # one shuffle by the three columns serves the join and the merging of rows that repeat a document
