@@ -42,8 +42,13 @@ def graded(agg: DataFrame) -> DataFrame:
     return out.withColumn("overall", m.look_up(F.element_at(F.array(*map(F.lit, m.GRADES)), (worst + 1).cast("int")), m.OVERALL, "Needs Attention"))
 
 
-def _rule(df: DataFrame, when: Column, severity: Column, rule: str, extremity: Column, path: Column, value: Column, note: Column) -> DataFrame:
-    return df.where(when).select(severity.alias("severity"), F.lit(rule).alias("rule"), path.alias("module_path"), extremity.cast("double").alias("extremity"), value.cast("double").alias("value"), note.alias("note"))
+def _rule(when: Column, severity: Column, rule: str, extremity: Column, path: Column, value: Column, note: Column) -> Column:
+    return F.when(when, F.struct(severity.alias("severity"), F.lit(rule).alias("rule"), path.alias("module_path"), extremity.cast("double").alias("extremity"), value.cast("double").alias("value"), note.alias("note")))
+
+
+def _fired(df: DataFrame, *rules: Column) -> DataFrame:
+    """The hits of all rules on each row, by one pass over the rows."""
+    return df.select(F.explode(F.filter(F.array(*rules), lambda h: h.isNotNull())).alias("h")).select("h.*")
 
 
 def ticked(items: Column) -> Column:
@@ -59,16 +64,23 @@ def rule_hits(modules: DataFrame, participation: DataFrame, dup: DataFrame) -> D
     c = F.col
     i, d, none = c("instability"), c("distance"), F.lit("")
     over_dup = F.when(c("dup_percent") >= 5, "red").otherwise("green")
+    shared = F.concat_ws("|", c("similarity").cast("string"), c("files"))
     hits = [
-        _rule(modules, c("lcom") >= 4, F.lit("red"), "lcom4-split", c("lcom") - 4, c("module"), c("lcom"), none),
-        _rule(modules, d >= 0.5, F.lit("red"), "distance-refactor", d - 0.5, c("module"), d, c("zone")),
-        _rule(participation, c("n_cycles") > 0, F.lit("red"), "cycle-break", c("n_cycles"), c("path"), c("n_cycles"), ticked(c("representative"))),
-        _rule(modules, i >= 0.95, F.lit("yellow"), "instability-isolate", i - 0.95, c("module"), i, none),
-        _rule(modules, i <= 0.05, F.lit("yellow"), "instability-protect", F.lit(0.05) - i, c("module"), i, none),
-        _rule(modules, c("ce") > 20, F.lit("yellow"), "ce-decouple", c("ce") - 20, c("module"), c("ce"), none),
-        _rule(modules, (c("abstractness") == 0) & (c("exported_types") > 10), F.lit("yellow"), "abstractness-interfaces", c("exported_types") - 10, c("module"), c("exported_types"), none),
-        _rule(dup, c("dup_percent") >= 5, over_dup, "duplication-eliminate", c("dup_percent") - 5, none, c("n_blocks"), F.concat_ws("|", c("similarity").cast("string"), c("files"))),
-        _rule(dup, (c("dup_percent") > 0) & (c("dup_percent") < 5), over_dup, "duplication-watch", c("dup_percent"), none, c("n_blocks"), F.concat_ws("|", c("similarity").cast("string"), c("files"))),
+        _fired(
+            modules,
+            _rule(c("lcom") >= 4, F.lit("red"), "lcom4-split", c("lcom") - 4, c("module"), c("lcom"), none),
+            _rule(d >= 0.5, F.lit("red"), "distance-refactor", d - 0.5, c("module"), d, c("zone")),
+            _rule(i >= 0.95, F.lit("yellow"), "instability-isolate", i - 0.95, c("module"), i, none),
+            _rule(i <= 0.05, F.lit("yellow"), "instability-protect", F.lit(0.05) - i, c("module"), i, none),
+            _rule(c("ce") > 20, F.lit("yellow"), "ce-decouple", c("ce") - 20, c("module"), c("ce"), none),
+            _rule((c("abstractness") == 0) & (c("exported_types") > 10), F.lit("yellow"), "abstractness-interfaces", c("exported_types") - 10, c("module"), c("exported_types"), none),
+        ),
+        _fired(participation, _rule(c("n_cycles") > 0, F.lit("red"), "cycle-break", c("n_cycles"), c("path"), c("n_cycles"), ticked(c("representative")))),
+        _fired(
+            dup,
+            _rule(c("dup_percent") >= 5, over_dup, "duplication-eliminate", c("dup_percent") - 5, none, c("n_blocks"), shared),
+            _rule((c("dup_percent") > 0) & (c("dup_percent") < 5), over_dup, "duplication-watch", c("dup_percent"), none, c("n_blocks"), shared),
+        ),
     ]
     return reduce(DataFrame.unionByName, hits)
 

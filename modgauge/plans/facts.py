@@ -116,6 +116,37 @@ def floors(spark: SparkSession, sf: str) -> DataFrame:
     return part.unionByName(spark.range(1).select(F.lit("Brand#99").alias("package"), F.lit(50.0).alias("floor")))
 
 
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """A file a document: its source is the directory, the language decides the extension, and some lie in skipped folders."""
+    d = table(spark, sf, "documents")
+    ext = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "de", ".ts").when(F.col("doc_id") % 2 == 0, ".gen.go").otherwise(".go")
+    folder = F.when(F.col("doc_id") % 10 == 3, F.concat(F.coalesce("source", F.lit("none")), F.lit("/testdata"))).otherwise(F.coalesce("source", F.lit("none")))
+    path = F.concat(folder, F.lit("/f"), F.col("doc_id").cast("string"), ext)
+    return d.select(path.alias("path"), folder.alias("dir"), "lang", "text", F.when(F.col("doc_id") % 7 == 0, "denied").alias("error"))
+
+
+def line_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph that grows with the tables: each order line leads to the order's next one, a returned one to the first."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.bool_or(F.col("l_returnflag") == "R").alias("back"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    node = lambda c: F.col("l_orderkey") * 8 + c
+    all_of = Window.partitionBy("l_orderkey")
+    x = lines.select(node(F.col("l_linenumber")).alias("src"), node(F.lead("l_linenumber").over(w)).alias("next"), F.when(F.col("back"), node(F.min("l_linenumber").over(all_of))).alias("first"))
+    return x.select("src", F.explode(F.array("next", "first")).alias("dst")).where("dst is not null")
+
+
+def order_sets(spark: SparkSession, sf: str, flag: str) -> DataFrame:
+    """Sets of the brands that orders hold in lines of a flag, one row an order."""
+    brand = table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return brand.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("members")).select("members").distinct()
+
+
+def rising_series(spark: SparkSession, sf: str) -> DataFrame:
+    """A series an order: a tenth more with each line number."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("package"), "l_linenumber").distinct()
+    return lines.select("package", F.lit("instability").alias("metric"), F.timestamp_seconds(F.col("l_linenumber") * 86400).alias("generated_at"), (F.col("l_linenumber") / 10).alias("value"))
+
+
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Daily values by event type: mean value, half the share of events so far, and the number of days so far."""
     day = table(spark, sf, "events").groupBy(F.col("event_type").alias("package"), F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))

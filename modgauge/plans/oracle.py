@@ -123,6 +123,9 @@ hits as (select 'red' as severity, 'lcom4-split' as rule, module as module_path,
 REPORT = f"{MODULES},\n{EDGES},\n{BLOCKS},\n{AGG},\n{HITS}"
 HIT_COLUMNS = "severity, rule, module_path, round(extremity, 6) as extremity, round(value, 6) as value, note"
 
+#: Documents as files, as facts.files() has them.
+FILES = """files as (select case when doc_id % 10 = 3 then coalesce(source, 'none') || '/testdata' else coalesce(source, 'none') end as dir, doc_id, lang, text, case when doc_id % 7 = 0 then 'denied' end as error,
+      case when lang = 'en' then '.py' when lang = 'de' then '.ts' when doc_id % 2 = 0 then '.gen.go' else '.go' end as ext from documents), f as (select *, dir || '/f' || doc_id || ext as path from files)"""
 SQL = {
     "m1_module_metrics": f"{MODULES} select * from b_modules",
     "a1_a2_coupling": f"{FACTS} {_coupling('imports', 'packages')}",
@@ -182,7 +185,25 @@ SQL = {
     "j12_implements": """with i as (select distinct p_type as iface, p_size as method from part where p_size <= 10 and p_brand < 'Brand#2'), t as (select distinct p_brand as type, p_size as method from part),
       n as (select iface, count(*) as need from i group by 1), h as (select iface, type, count(*) as have from i join t using (method) group by 1, 2) select iface, type from h join n using (iface) where have = need""",
     "a19_interface_width": "select p_type as module, string_agg(iface || '=' || width, ',' order by iface) as widths from (select p_type, p_brand as iface, count(distinct p_size) as width from part group by 1, 2) group by 1",
-    "u1_warning_union": "select 'directory-as-module' as code, n_name as module from nation union all select 'unsupported-metric', r_name from region",
+    "u1_warning_union": f"""with {FILES} select 'parse-error' as code, path || ': ' || error as message, dir as module from f where error is not null
+      union all select 'unsupported-metric', l || ' has no duplication', '' from (values ('python'), ('typescript')) t(l)""",
+    "a5_python_type_counts": "select p_brand as module, count(*) filter (where p_size > 2) as exported_types, count(*) filter (where p_type = 'ECONOMY') as abstract_types from part group by 1",
+    "a8_order_components": """with d as (select distinct l_orderkey as o, l_linenumber as n from lineitem), k as (select l_orderkey as o, max(l_linenumber) filter (where l_returnflag = 'R') as k, min(l_linenumber) as f from lineitem group by 1),
+      x as (select o, n, f, count(*) over (partition by o) as c from d join k using (o) where n <= k) select o * 8 + n as node, o * 8 + f as root from x where c > 1""",
+    "a9_lines_of_code": f"with {FILES} select dir as module, cast(sum(len(string_split(text, chr(10)))) as bigint) as total_lines from f where ext in ('.py', '.ts') group by 1",
+    "f3_total_lines": f"""with {FILES} select lang as module, cast(sum(len([x for x in string_split(coalesce(text, ''), chr(10)) if trim(x) not in ('', '{{', '}}')])) as bigint) as total_lines
+      from f where not (ext = '.gen.go' or dir like '%/testdata') group by 1""",
+    "f6_exported_names": r"with p as (select p_partkey, case when p_size % 2 = 0 then '_' || p_name else p_name end as name from part) select p_partkey, regexp_matches(name, '^\p{Lu}') as go, not starts_with(name, '_') as python from p",
+    "f7_last_of_path": "with o as (select o_custkey as module, max(o_orderkey) as k from orders group by 1) select module, k % 7 as ca, k % 5 as ce, (k % 4) / 4.0::double as instability, (k % 8) / 8.0::double as abstractness, (k % 16) / 16.0::double as distance, k % 3 as lcom from o",
+    "j7_complete_join": "select p_brand, count(*) as n, cast(sum(cast(floor(l_quantity) as bigint)) as bigint) as quantity from lineitem join part on l_partkey = p_partkey group by 1",
+    "j11_corroborated": """with s as (select l_orderkey, l_returnflag, string_agg(distinct p_brand, ' ' order by p_brand) as members from lineitem join part on l_partkey = p_partkey group by 1, 2)
+      select members from s where l_returnflag = 'R' except select members from s where l_returnflag = 'A'""",
+    "t4_streaks_of_five": """with d as (select distinct l_orderkey, l_linenumber as n from lineitem)
+      select cast(l_orderkey as varchar) as package, 'instability' as metric, count(*) - 1 as streak from d group by 1, 2 having count(*) - 1 >= 5""",
+    "t8_overall": f"""with {SERIES}, u as (select *, row_number() over w as i, coalesce(round(value - lag(value) over w, 9) >= case metric when 'instability' then 0.05 when 'distance' then 0.1 else 1.0 end, false) as up from series window w as (partition by package, metric order by day)),
+      a as (select count(*) as n from (select 1 from u group by package, metric having max(i) - coalesce(max(i) filter (where not up), 0) >= 5)) select case when n > 0 then 'Degrading' end as overall from a""",
+    "x6_proximity": """with i as (select distinct p_type as iface, p_size % 5 as method from part), t as (select distinct p_brand as type, p_size % 4 + length(p_brand) % 2 as method from part), n as (select iface, count(*) as need from i group by 1),
+      h as (select iface, type, count(*) as have from i join t using (method) group by 1, 2), d as (select distinct iface from h join n using (iface) where have = need) select n.iface, case when d.iface is null then 'consumer' else 'producer' end as proximity from n left join d using (iface)""",
     "w5_sparklines": f"""with {SERIES}, l as (select package, metric, list(value order by day) as v from series group by 1, 2), s as (select package, metric, case when len(v) > 30 then [v[floor(i * len(v) / 30.0)::int + 1] for i in range(30)] else v end as v from l)
       select package, metric, array_to_string([case when list_max(v) - list_min(v) < 1e-10 then '▄' else substr('▁▂▃▄▅▆▇█', floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 7)::int + 1, 1) end for x in v], '') as sparkline from s""",
     "p1_p22_scalars": f"""with p as (select p_partkey, p_size - 1 as ca, p_size % 7 as ce, 'src/' || lower(p_type) || '/' || p_brand as path from part)

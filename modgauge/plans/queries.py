@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..operators import coupling, delta, duplication, graph, ratchet, report, resolve, trend
-from . import facts
+from ..operators import coupling, delta, dialects, duplication, graph, ratchet, report, resolve, trend
+from . import facts, registry
 from .oracle import SQL
+from .session import cut
 
 LIMITS = {"instability": 0.8, "distance": 0.3, "lcom": 3}
 REGISTRY: dict = {}
@@ -72,8 +73,8 @@ def _(spark, sf):
 
 
 def _parts(spark, sf):
-    """Modules, cycles and duplicate blocks: what a report is made of, planned once for a query."""
-    return facts.modules(spark, sf), graph.cycles(facts.edges(spark, sf)), facts.dup_blocks(spark, sf)
+    """Modules, cycles and duplicate blocks: what a report is made of, computed once for a query."""
+    return cut(facts.modules(spark, sf)), cut(graph.cycles(facts.edges(spark, sf))), cut(facts.dup_blocks(spark, sf))
 
 
 def _agg(modules, cycles, blocks):
@@ -100,11 +101,11 @@ def _(spark, sf):
 
 
 def _delta(spark, sf):
-    return delta.module_delta(facts.modules(spark, sf), facts.changed_modules(spark, sf))
+    return cut(delta.module_delta(facts.modules(spark, sf), facts.changed_modules(spark, sf)))
 
 
 def _cycle_delta(spark, sf):
-    return delta.cycle_delta(graph.cycles(facts.edges(spark, sf)), graph.cycles(facts.edges(spark, sf, facts.CHANGE)))
+    return cut(delta.cycle_delta(graph.cycles(facts.edges(spark, sf)), graph.cycles(facts.edges(spark, sf, facts.CHANGE))))
 
 
 @query("j1_module_delta")
@@ -290,8 +291,72 @@ def _(spark, sf):
 
 @query("u1_warning_union")
 def _(spark, sf):
-    a = facts.table(spark, sf, "nation").select(F.lit("directory-as-module").alias("code"), F.col("n_name").alias("module"))
-    return a.unionByName(facts.table(spark, sf, "region").select(F.lit("unsupported-metric").alias("code"), F.col("r_name").alias("module")))
+    files = facts.files(spark, sf)
+    return dialects.warnings(files, *[a.warnings() for a in registry.default().adapters.values()])
+
+
+@query("a5_python_type_counts")
+def _(spark, sf):
+    types = facts.types(spark, sf).withColumnRenamed("is_iface", "abstract")
+    return coupling.python_type_counts(types)
+
+
+@query("a8_order_components")
+def _(spark, sf):
+    return graph.strong_components(facts.line_edges(spark, sf))
+
+
+@query("a9_lines_of_code")
+def _(spark, sf):
+    files = facts.files(spark, sf).withColumn("loc", F.size(F.split("text", "\n")).cast("long"))
+    return duplication.loc_lines(files, (".py", ".ts"))
+
+
+@query("f3_total_lines")
+def _(spark, sf):
+    return duplication.total_lines(facts.files(spark, sf).select(F.col("lang").alias("module"), F.col("path").alias("file"), "text"))
+
+
+@query("f6_exported_names")
+def _(spark, sf):
+    p = facts.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), "p_name")).otherwise(F.col("p_name")).alias("name"))
+    return p.select("p_partkey", m.exported_name(F.col("name"), "go").alias("go"), m.exported_name(F.col("name"), "python").alias("python"))
+
+
+@query("f7_last_of_path")
+def _(spark, sf):
+    n = lambda i: F.col("o_orderkey") % i
+    o = facts.table(spark, sf, "orders").select(F.col("o_custkey").alias("module"), F.col("o_orderkey").alias("idx"), n(7).alias("ca"), n(5).alias("ce"), (n(4) / 4.0).alias("instability"), (n(8) / 8.0).alias("abstractness"), (n(16) / 16.0).alias("distance"), n(3).alias("lcom"))
+    return delta.last_of_path(o, "idx")
+
+
+@query("j7_complete_join")
+def _(spark, sf):
+    parts = facts.table(spark, sf, "part").select("p_partkey", "p_brand")
+    sold = facts.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    return resolve.complete(sold, parts, "p_partkey", "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+@query("j11_corroborated")
+def _(spark, sf):
+    derived, listed = (facts.order_sets(spark, sf, flag) for flag in ("R", "A"))
+    return resolve.corroborated(derived, listed).select(_joined().alias("members"))
+
+
+@query("t4_streaks_of_five")
+def _(spark, sf):
+    return trend.streaks(facts.rising_series(spark, sf))
+
+
+@query("t8_overall")
+def _(spark, sf):
+    return trend.overall(_fits(spark, sf), trend.streaks(facts.series(spark, sf)))
+
+
+@query("x6_proximity")
+def _(spark, sf):
+    p = facts.table(spark, sf, "part")
+    return coupling.proximity(p.select(F.col("p_type").alias("iface"), (F.col("p_size") % 5).alias("method")), p.select(F.col("p_brand").alias("type"), (F.col("p_size") % 4 + F.length("p_brand") % 2).alias("method")))
 
 
 @query("w5_sparklines")

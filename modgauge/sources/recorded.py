@@ -126,7 +126,7 @@ def write_floors(path: str, floors: dict[str, float]) -> None:
 
 def pinned(line: str, version: str, commit: str) -> tuple[str, str]:
     """Version and commit of a tool's version line; anything but the pinned ones is an error."""
-    found = re.fullmatch(r"(\S+) (\S+) \((?:.*[ ,(])?built_from=([0-9a-f]+)[^)]*\)", line.strip()[:4096])
+    found = re.fullmatch(r"(\S+) (\S+) \((?:.*[ ,(])?built_from=([0-9a-f]+)[^)]*\)", line.strip())
     if not found or found[2] != version or not found[3].startswith(commit):
         raise ValueError(f"need version {version} built from {commit}, not {line.strip()[:80]!r}")
     return found[2], found[3]

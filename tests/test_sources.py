@@ -290,3 +290,11 @@ def test_snapshot_stream_and_store(spark, tmp_path):
 def test_violation_lines():
     rows = [{"module": "", "rank": 99, "metric": "cycles", "value": 2.0, "limit": 0.0}, {"module": "a", "rank": 0, "metric": "lcom", "value": 4.0, "limit": 3.0}]
     assert render.violation_lines(rows) == ["a: lcom 4 exceeds 3", "2 circular dependency chains found"]
+
+
+@pytest.mark.parametrize(("line", "name"), [
+    ("  abstract foo() {", "foo"), ("  $foo() {", "$foo"), ("foo <T> (x) {", "foo"), ("public static async bar<T extends () => void>(a: T): Promise<T> {", "bar"),
+    ("private readonly x = 3;", None), ("static(x) {", "static"), ("get foo() {", None), ("foo(a, b);", None), ("foo(a = (1), b) : X {", "foo"), ("foo(a,", None), ("", None), ("foo() { return 1; }", "foo"),
+])
+def test_typescript_method_lines(line, name):
+    assert dialects.typescript_method(line) == name
