@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import delta, duplication, graph, ratchet, render
 from ..operators import report as rules
 from ..sources import recorded, snapshots
+from . import analyze
 
+LIMITS = ("instability", "distance", "lcom", "duplication")
 _rows = lambda df: [r.asDict() for r in df.collect()]
 
 
@@ -93,13 +95,30 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument(name)
     c.add_argument("--update", action="store_true")
     c.add_argument("--json", action="store_true")
+    z = sub.add_parser("analyze")
+    z.add_argument("root")
+    for name in LIMITS:
+        z.add_argument(f"--max-{name}", type=float)
+    z.add_argument("--fail-on-cycles", action="store_true")
+    z.add_argument("--no-provenance", action="store_true")
+    z.add_argument("--out")
+    for name in ("instability", "distance", "lcom"):
+        d.add_argument(f"--max-{name}-rise", type=float)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
         if a.command == "report":
             text, code = report(spark, a.graph, a.mode, a.json)
         elif a.command == "diff":
-            text, code = diff(spark, a.base, a.change, a.form, a.gate)
+            rises = {x: getattr(a, f"max_{x}_rise") for x in ("instability", "distance", "lcom")}
+            text, code = diff(spark, a.base, a.change, a.form, a.gate, **{x: v for x, v in rises.items() if v is not None})
+        elif a.command == "analyze":
+            limits = {x: v for x in LIMITS if (v := getattr(a, f"max_{x}")) is not None}
+            text, code = analyze.analyze(spark, a.root, limits, a.fail_on_cycles, not a.no_provenance)
+            if a.out:
+                with open(a.out, "w", encoding="utf-8") as f:
+                    f.write(text)
+            text = "" if a.out else text + "\n"
         else:
             text, code = run_ratchet(spark, a.profile, a.floors, a.module, a.update, a.json)
     except Exception as e:  # a command that fails prints nothing on stdout
