@@ -35,13 +35,15 @@ def parts_of(texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, lis
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or on a local master a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
     if base := spark.conf.get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(base)
         return base.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="modgauge-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
