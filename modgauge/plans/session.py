@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to spark.checkpoint.dir; where that is unset (tests) a temporary folder is used."""
+    """Checkpoint to spark.checkpoint.dir; where that is unset a local master (tests) takes a temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modgauge-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="modgauge-"))
     return df.checkpoint()
