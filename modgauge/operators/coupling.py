@@ -77,11 +77,15 @@ def interface_width(iface_methods: DataFrame) -> DataFrame:
 def implements(ifaces: DataFrame, types: DataFrame) -> DataFrame:
     """(iface, type) pairs whose method sets contain the interface's, by counted matches and no cross join.
 
-    Interfaces of no method are left to the caller: every type has them.
+    Candidates are the types that have the interface's rarest method, so that methods common to all types join
+    nothing. Interfaces of no method are left to the caller: every type has them.
     """
-    need = ifaces.distinct().groupBy("iface").agg(F.count("*").alias("need"))
-    have = ifaces.distinct().join(types.distinct(), "method").groupBy("iface", "type").agg(F.count("*").alias("have"))
-    return have.join(need, "iface").where("have = need").select("iface", "type")
+    ifaces, types = ifaces.distinct(), types.distinct()
+    held = types.groupBy("method").agg(F.count("*").alias("n_types"))
+    wanted = ifaces.join(held, "method", "left").groupBy("iface").agg(F.count("*").alias("need"), F.min(F.struct(F.coalesce("n_types", F.lit(0)).alias("n"), "method"))["method"].alias("method"))
+    candidates = wanted.join(types, "method").select("iface", "type", "need")
+    have = candidates.join(ifaces, "iface").join(types, ["type", "method"], "left_semi").groupBy("iface", "type", "need").agg(F.count("*").alias("have"))
+    return have.where("have = need").select("iface", "type")
 
 
 def proximity(ifaces: DataFrame, types: DataFrame) -> DataFrame:

@@ -15,12 +15,8 @@ EXTREME = (0.001, 0.999)
 
 
 def steady_mean(x: Column) -> Column:
-    """Mean summed in ascending order, so that it does not depend on the order of rows; 0 of nothing.
-
-    The values of one snapshot's modules are gathered; for larger inputs use avg, which is not steady.
-    """
-    ordered = F.array_sort(F.collect_list(x))
-    return F.when(F.count(x) == 0, 0.0).otherwise(F.aggregate(ordered, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.count(x), F.lit(0)))
+    """Mean that doesn't depend on the order of rows, by decimal sums of 18 places; 0 of nothing. Values lie below 1e10."""
+    return F.coalesce(F.sum(x.cast("decimal(28,18)")).cast("double") / F.nullif(F.count(x), F.lit(0)), F.lit(0.0))
 
 
 def aggregates(modules: DataFrame, cycles: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Fact tables bound to the star-schema test tables, so that every operator runs over whole tables.
 
-Nations are packages: a customer's nation imports the nations of its orders' suppliers in a window of order
-dates. Brands are packages of types and of coverage, languages of function blocks, event types of time series.
+Customers are modules of the package that is their nation, so that the module graph grows with the tables. Each
+order is a type, a method and an import of its customer; brands are packages of types and of coverage, languages
+of function blocks, event types of time series.
 """
 
 from __future__ import annotations
@@ -9,42 +10,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import coupling, duplication, graph
+from ..operators import coupling, delta, duplication, graph
+from .session import cut
 
-BASE, CHANGE = ("1997-01-01", "1997-01-03"), ("1997-01-03", "1997-01-05")
-COHESION = ("1997-01-01", "1997-01-15")
+#: Customers import others of the same block of keys only, so that a cycle stays small at every size.
+BLOCK = 8
+#: The two sides of a diff: the status of urgent orders that lead back, and how many fields there are.
+SIDES = {"base": ("P", 400), "change": ("F", 401)}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def within(column: str, window: tuple[str, str]):
-    return (F.col(column) >= F.lit(window[0]).cast("timestamp")) & (F.col(column) < F.lit(window[1]).cast("timestamp"))
+def packages(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    """A module a customer; in the change those of the first nation have moved."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    top = F.col("n_name") if side == "base" else F.when(F.col("n_nationkey") == 0, "MOVED").otherwise(F.col("n_name"))
+    return c.select(F.concat_ws("/", top, "c_name").alias("module"), F.lower("c_name").alias("name"), "c_custkey")
 
 
-def imports(spark: SparkSession, sf: str, window: tuple[str, str] = BASE) -> DataFrame:
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    orders = table(spark, sf, "orders").where(within("o_orderdate", window)).select("o_orderkey", "o_custkey")
-    buyer = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    seller = buyer.join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = seller.select("c_nationkey", "s_nationkey").where("c_nationkey <> s_nationkey").distinct()
-    named = pairs.join(nation.toDF("c_nationkey", "module"), "c_nationkey").join(nation.toDF("s_nationkey", "target"), "s_nationkey")
-    return named.select("module", "target")
+def _orders(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    return packages(spark, sf, side).join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
 
 
-def packages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").where("n_regionkey in (0, 1, 2)").select(F.col("n_name").alias("module"), F.lower("n_name").alias("name"))
+def edges(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    """Each order leads to a customer one to three keys on within the block; urgent ones of a status lead as far back."""
+    at, far = F.col("c_custkey") % BLOCK, F.col("o_orderkey") % 3 + 1
+    back = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == SIDES[side][0])
+    to = F.when(back, F.greatest(F.lit(0), at - far)).otherwise(F.least(F.lit(BLOCK - 1), at + far))
+    pairs = _orders(spark, sf, side).select(F.col("module").alias("src"), (F.col("c_custkey") - at + to).alias("key")).distinct()
+    return pairs.join(packages(spark, sf, side).select(F.col("c_custkey").alias("key"), F.col("module").alias("dst")), "key").select("src", "dst").where("src <> dst")
 
 
-def edges(spark: SparkSession, sf: str, window: tuple[str, str] = BASE) -> DataFrame:
-    return imports(spark, sf, window).select(F.col("module").alias("src"), F.col("target").alias("dst"))
+def imports(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    """Edges between customers, and one to a foreign module for each priority among a customer's orders."""
+    foreign = _orders(spark, sf, side).select("module", F.concat(F.lit("lib/"), "o_orderpriority").alias("target")).distinct()
+    return edges(spark, sf, side).toDF("module", "target").unionByName(foreign)
 
 
-def nation_types(spark: SparkSession, sf: str, segment: str = "BUILDING") -> DataFrame:
-    """A type a customer: those in debt are not exported, the segment's are interfaces."""
-    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select(F.col("n_name").alias("module"), F.col("c_name").alias("type"), (F.col("c_acctbal") >= 0).alias("exported"), F.lit(False).alias("is_alias"), (F.col("c_mktsegment") == segment).alias("is_iface"))
+def order_types(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    """A type an order: those of 100,000 and more are exported, urgent ones are interfaces."""
+    o = _orders(spark, sf, side)
+    return o.select("module", F.col("o_orderkey").alias("type"), (F.col("o_totalprice") >= 100_000).alias("exported"), F.lit(False).alias("is_alias"), (F.col("o_orderpriority") == "1-URGENT").alias("is_iface"))
 
 
 def types(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,31 +64,40 @@ def types(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def method_fields(spark: SparkSession, sf: str, window: tuple[str, str] = COHESION) -> DataFrame:
-    """Scope: a supplier's nation; method: the supplier; field: a slot of the part; suppliers without sales have none."""
-    nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("scope"))
-    sales = table(spark, sf, "lineitem").where(within("l_shipdate", window)).select("l_suppkey", (F.col("l_partkey") % 50).alias("field")).distinct()
-    methods = nation.join(table(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("scope", F.col("s_suppkey").alias("method"))
-    return methods.join(sales, F.col("method") == F.col("l_suppkey"), "left").select("scope", "method", "field")
+def method_fields(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    """Scope: a customer; method: an order; field: a slot of the part; customers without orders have no method."""
+    sales = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % SIDES[side][1]).alias("field")).distinct()
+    methods = packages(spark, sf, side).join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("module").alias("scope"), F.col("o_orderkey").alias("method"))
+    return methods.join(sales, F.col("method") == F.col("l_orderkey"), "left").select("scope", "method", "field")
 
 
-def nation_lines(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("n_name").alias("module")).agg(F.count("*").alias("total_lines"))
+def order_lines(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
+    quantity = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
+    return _orders(spark, sf, side).join(quantity, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("module").agg(F.sum("n").alias("total_lines"))
 
 
-def _lcom(facts: DataFrame) -> DataFrame:
-    return graph.cohesion(facts).withColumnRenamed("scope", "module")
+def _table(spark: SparkSession, sf: str, side: str, lcom: DataFrame) -> DataFrame:
+    return coupling.module_table(packages(spark, sf, side), imports(spark, sf, side), order_types(spark, sf, side), lcom, order_lines(spark, sf, side))
 
 
 def modules(spark: SparkSession, sf: str) -> DataFrame:
-    return coupling.module_table(packages(spark, sf), imports(spark, sf), nation_types(spark, sf), _lcom(method_fields(spark, sf)), nation_lines(spark, sf))
+    return _table(spark, sf, "base", graph.cohesion(method_fields(spark, sf)).withColumnRenamed("scope", "module"))
+
+
+def module_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Base against change; cohesion of both sides in one run of rounds, whose scopes are kept apart by a mark."""
+    marked = [method_fields(spark, sf, side).withColumn("scope", F.concat(F.lit(side[0]), "scope")) for side in SIDES]
+    lcom = cut(graph.cohesion(marked[0].unionByName(marked[1])))
+    of = lambda side: lcom.where(F.col("scope").startswith(side[0])).select(F.expr("substring(scope, 2)").alias("module"), "lcom")
+    return delta.module_delta(*[_table(spark, sf, side, of(side)) for side in SIDES])
 
 
-def changed_modules(spark: SparkSession, sf: str) -> DataFrame:
-    """The other side of a diff: later imports and sales, one nation gone and one of another region added."""
-    more = table(spark, sf, "nation").where("n_regionkey in (0, 1, 2, 3) and n_nationkey <> 0").select(F.col("n_name").alias("module"), F.lower("n_name").alias("name"))
-    return coupling.module_table(more, imports(spark, sf, CHANGE), nation_types(spark, sf), _lcom(method_fields(spark, sf, ("1997-01-15", "1997-01-29"))), nation_lines(spark, sf))
+def cycle_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of base against change, found in one run of rounds over both graphs, whose nodes are kept apart by a mark."""
+    marked = [edges(spark, sf, side).select(*[F.concat(F.lit(side[0]), c).alias(c) for c in ("src", "dst")]) for side in SIDES]
+    found = cut(graph.cycles(marked[0].unionByName(marked[1])))
+    of = lambda side: found.where(F.col("members")[0].startswith(side[0])).select(F.transform("members", lambda x: F.substring(x, 2, 2**31 - 1)).alias("members"))
+    return delta.cycle_delta(*map(of, SIDES))
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,9 +128,9 @@ def coverage_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def floors(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands of the first three makers have a floor; one floor has no package."""
-    part = table(spark, sf, "part").where("p_brand < 'Brand#4'").select(F.col("p_brand").alias("package")).distinct().withColumn("floor", F.lit(66.5))
-    return part.unionByName(spark.range(1).select(F.lit("Brand#99").alias("package"), F.lit(50.0).alias("floor")))
+    """Every brand has a floor; the first brand's stands under a name that no package has."""
+    name = F.when(F.col("p_brand") == "Brand#1", "Brand#99").otherwise(F.col("p_brand"))
+    return table(spark, sf, "part").select(name.alias("package")).distinct().withColumn("floor", F.lit(66.5))
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:

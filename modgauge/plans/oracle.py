@@ -2,67 +2,64 @@
 
 from __future__ import annotations
 
-from .facts import BASE, CHANGE, COHESION
+from .facts import BLOCK, SIDES
 
-LATER = ("1997-01-15", "1997-01-29")
 
+def _facts(side: str, top: str) -> str:
+    """The tables of one side of a diff, each name led by the side's letter."""
+    s, (status, fields) = side[0], SIDES[side]
+    to = f"""case when o_orderpriority = '1-URGENT' and o_orderstatus = '{status}' then greatest(0, c_custkey % {BLOCK} - o_orderkey % 3 - 1) else least({BLOCK - 1}, c_custkey % {BLOCK} + o_orderkey % 3 + 1) end"""
+    return f"""{s}_cust as (select {top} || '/' || c_name as module, lower(c_name) as name, c_custkey from customer join nation on c_nationkey = n_nationkey),
+{s}_ord as (select * from {s}_cust join orders on c_custkey = o_custkey),
+{s}_edges as (select distinct o.module as src, d.module as dst from (select module, c_custkey - c_custkey % {BLOCK} + {to} as key from {s}_ord) o join {s}_cust d on d.c_custkey = key where o.module <> d.module),
+{s}_imports as (select src as module, dst as target from {s}_edges union all select distinct module, 'lib/' || o_orderpriority from {s}_ord),
+{s}_types as (select module, count(*) filter (where o_totalprice >= 100000) as exported_types, count(*) filter (where o_totalprice >= 100000 and o_orderpriority = '1-URGENT') as abstract_types from {s}_ord group by 1),
+{s}_lines as (select module, cast(sum(n) as bigint) as total_lines from {s}_ord join (select l_orderkey, sum(cast(floor(l_quantity) as bigint)) as n from lineitem group by 1) on l_orderkey = o_orderkey group by 1),
+{s}_mf as (select module as scope, o_orderkey as method, field from {s}_cust left join orders on o_custkey = c_custkey left join (select distinct l_orderkey, l_partkey % {fields} as field from lineitem) on l_orderkey = o_orderkey)"""
 
-def _imports(w: tuple[str, str]) -> str:
-    return f"""select distinct cn.n_name as module, sn.n_name as target from orders join customer on o_custkey = c_custkey join nation cn on c_nationkey = cn.n_nationkey
-  join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation sn on s_nationkey = sn.n_nationkey
-  where o_orderdate >= timestamp '{w[0]}' and o_orderdate < timestamp '{w[1]}' and c_nationkey <> s_nationkey"""
 
+def _coupling(s: str) -> str:
+    return f"""select p.module, coalesce(a.n, 0) as ca, coalesce(e.n, 0) as ce from {s}_cust p left join (select target as module, count(distinct module) as n from {s}_imports group by 1) a using (module)
+  left join (select module, count(distinct target) as n from {s}_imports group by 1) e using (module)"""
 
-def _coupling(i: str, p: str) -> str:
-    return f"""select p.module, (select count(distinct i.module) from {i} i where i.target = p.module and i.module in (select module from {p})) as ca,
-  (select count(distinct i.target) from {i} i where i.module = p.module) as ce from {p} p"""
 
-
-def _lcom(prefix: str, w: tuple[str, str]) -> str:
+def _lcom(s: str) -> str:
     """Components by recursive reachability between methods that share a field."""
-    return f"""{prefix}mf as (select n_name as scope, s_suppkey as method, field from nation left join supplier on s_nationkey = n_nationkey
-    left join (select distinct l_suppkey, l_partkey % 50 as field from lineitem where l_shipdate >= timestamp '{w[0]}' and l_shipdate < timestamp '{w[1]}') on l_suppkey = s_suppkey),
-{prefix}pair as (select distinct a.scope, a.method as x, b.method as y from {prefix}mf a join {prefix}mf b on a.scope = b.scope and a.field = b.field),
-{prefix}walk as (select scope, method as x, method as y from {prefix}mf where method is not null union select w.scope, w.x, e.y from {prefix}walk w join {prefix}pair e on e.scope = w.scope and e.x = w.y),
-{prefix}lcom as (select n_name as module, count(distinct root) as lcom from nation left join (select scope, x, min(y) as root from {prefix}walk group by 1, 2) on scope = n_name group by 1)"""
+    return f"""{s}_pair as (select distinct a.scope, a.method as x, b.method as y from {s}_mf a join {s}_mf b on a.scope = b.scope and a.field = b.field),
+{s}_walk as (select scope, method as x, method as y from {s}_mf where method is not null union select w.scope, w.x, e.y from {s}_walk w join {s}_pair e on e.scope = w.scope and e.x = w.y),
+{s}_lcom as (select c.module, count(distinct root) as lcom from {s}_cust c left join (select scope, x, min(y) as root from {s}_walk group by 1, 2) on scope = module group by 1)"""
 
 
 ZONE = "case when distance < 0.2::double then 'main-sequence' when abstractness < 0.2::double and instability < 0.2::double then 'zone-of-pain' when abstractness > 0.8::double and instability > 0.8::double then 'zone-of-uselessness' else 'normal' end"
 
 
-def _modules(prefix: str, i: str, p: str) -> str:
-    return f"""{prefix}raw as (select c.*, coalesce(t.exported_types, 0) as exported_types, coalesce(t.abstract_types, 0) as abstract_types, l.lcom, coalesce(n.total_lines, 0) as total_lines
-    from ({_coupling(i, p)}) c left join nation_types t using (module) left join {prefix}lcom l using (module) left join nation_lines n using (module)),
-{prefix}ratios as (select *, case when ca + ce = 0 then 0.0::double else ce::double / (ca + ce) end as instability, case when exported_types = 0 then 0.0::double else abstract_types::double / exported_types end as abstractness from {prefix}raw),
-{prefix}dist as (select *, abs(abstractness + instability - 1.0::double) as distance from {prefix}ratios),
-{prefix}modules as (select *, {ZONE} as zone from {prefix}dist)"""
+def _modules(s: str) -> str:
+    return f"""{s}_raw as (select c.*, coalesce(t.exported_types, 0) as exported_types, coalesce(t.abstract_types, 0) as abstract_types, l.lcom, coalesce(n.total_lines, 0) as total_lines
+    from ({_coupling(s)}) c left join {s}_types t using (module) left join {s}_lcom l using (module) left join {s}_lines n using (module)),
+{s}_ratios as (select *, case when ca + ce = 0 then 0.0::double else ce::double / (ca + ce) end as instability, case when exported_types = 0 then 0.0::double else abstract_types::double / exported_types end as abstractness from {s}_raw),
+{s}_dist as (select *, abs(abstractness + instability - 1.0::double) as distance from {s}_ratios),
+{s}_modules as (select *, {ZONE} as zone from {s}_dist)"""
 
 
-FACTS = f"""with recursive imports as ({_imports(BASE)}), later as ({_imports(CHANGE)}),
-packages as (select n_name as module, lower(n_name) as name from nation where n_regionkey in (0, 1, 2)),
-later_packages as (select n_name as module from nation where n_regionkey in (0, 1, 2, 3) and n_nationkey <> 0),
-nation_types as (select n_name as module, count(*) filter (where c_acctbal >= 0) as exported_types, count(*) filter (where c_acctbal >= 0 and c_mktsegment = 'BUILDING') as abstract_types
-  from customer join nation on c_nationkey = n_nationkey group by 1),
-nation_lines as (select n_name as module, count(*) as total_lines from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1)"""
-LCOM = FACTS + ",\n" + _lcom("b_", COHESION)
-MODULES = LCOM + ",\n" + _modules("b_", "imports", "packages")
-DIFF = MODULES + ",\n" + _lcom("c_", LATER) + ",\n" + _modules("c_", "later", "later_packages")
+FACTS = "with recursive " + _facts("base", "n_name")
+LCOM = FACTS + ",\n" + _lcom("b")
+MODULES = LCOM + ",\n" + _modules("b")
+DIFF = ",\n".join([MODULES, _facts("change", "case when n_nationkey = 0 then 'MOVED' else n_name end"), _lcom("c"), _modules("c")])
 
 
-def _reach(name: str, source: str) -> str:
-    return f"""{name}_e as ({source}), {name}_r as (select src, dst from {name}_e union select r.src, e.dst from {name}_r r join {name}_e e on e.src = r.dst),
-{name}_scc as (select x.src as node, min(least(x.src, x.dst)) as root from {name}_r x join {name}_r y on x.src = y.dst and x.dst = y.src group by 1),
-{name}_big as (select node, root from {name}_scc where root in (select root from {name}_scc group by 1 having count(*) > 1)),
-{name}_cycles as (select root, string_agg(node, ' ' order by node) as members, count(*) as n from {name}_big group by 1)"""
+def _reach(s: str) -> str:
+    return f"""{s}_r as (select src, dst from {s}_edges union select r.src, e.dst from {s}_r r join {s}_edges e on e.src = r.dst),
+{s}_scc as (select x.src as node, min(least(x.src, x.dst)) as root from {s}_r x join {s}_r y on x.src = y.dst and x.dst = y.src group by 1),
+{s}_big as (select node, root from {s}_scc where root in (select root from {s}_scc group by 1 having count(*) > 1)),
+{s}_cycles as (select root, string_agg(node, ' ' order by node) as members, count(*) as n from {s}_big group by 1)"""
 
 
-EDGES = _reach("base", "select distinct module as src, target as dst from imports where module <> target")
-EDGES2 = _reach("next", "select distinct module as src, target as dst from later where module <> target")
+EDGES, EDGES2 = _reach("b"), _reach("c")
 DELTA = """delta as (select coalesce(b.module, c.module) as module, case when b.module is null then 'added' when c.module is null then 'removed' else 'both' end as state,
   c.ca - b.ca as d_ca, c.ce - b.ce as d_ce, round((c.instability - b.instability) * 1e4) / 1e4 + 0.0::double as d_instability, round((c.abstractness - b.abstractness) * 1e4) / 1e4 + 0.0::double as d_abstractness,
   round((c.distance - b.distance) * 1e4) / 1e4 + 0.0::double as d_distance, c.lcom - b.lcom as d_lcom from b_modules b full outer join c_modules c on b.module = c.module),
-cyc as (select members, case when members in (select members from base_cycles) then 'resolved' else 'new' end as state from
-  (select members from next_cycles where members not in (select members from base_cycles) union all select members from base_cycles where members not in (select members from next_cycles))),
+cyc as (select members, case when members in (select members from b_cycles) then 'resolved' else 'new' end as state from
+  (select members from c_cycles where members not in (select members from b_cycles) union all select members from b_cycles where members not in (select members from c_cycles))),
 why as (select 0::bigint as kind_rank, members as subject, 0::bigint as metric_rank, 'new-cycle' as metric, null::double as value from cyc where state = 'new'
   union all select 1, module, 0, 'instability', d_instability from delta where state = 'both' and d_instability >= 0.15::double
   union all select 1, module, 1, 'distance', d_distance from delta where state = 'both' and d_distance >= 0.2::double
@@ -77,7 +74,7 @@ block_modules as (select module, cast(sum(sig_lines) as bigint) as total_lines f
 COVERAGE = """cov as (select p_brand as package, cast(sum(case when l_returnflag <> 'R' then cast(l_quantity as bigint) else 0 end) as bigint) as covered, cast(sum(cast(l_quantity as bigint)) as bigint) as total
   from lineitem join part on l_partkey = p_partkey group by 1 having sum(cast(l_quantity as bigint)) > 0),
 measured as (select *, (covered * 1000 // total) / 10.0::double as percent from cov),
-floors as (select distinct p_brand as package, 66.5::double as floor from part where p_brand < 'Brand#4' union all select 'Brand#99', 50.0),
+floors as (select distinct case when p_brand = 'Brand#1' then 'Brand#99' else p_brand end as package, 66.5::double as floor from part),
 eval as (select coalesce(m.package, f.package) as package, percent, floor, case when percent is null then 'stale-floor' when floor is null then 'unregistered' when percent < floor then 'below-floor' else 'pass' end as status
   from measured m full outer join floors f on m.package = f.package),
 upd as (select package, percent, case when status = 'unregistered' then case when percent >= 80 then percent end when status = 'pass' then greatest(percent, floor) else floor end as floor,
@@ -107,10 +104,10 @@ case when n_cycles = 0 then 'A' else 'F' end as g_cycles,
 case when dup_percent >= 15 then 'F' when dup_percent >= 10 then 'C' when dup_percent >= 5 then 'C+' when dup_percent >= 3 then 'B' when dup_percent > 0 then 'B+' else 'A' end as g_duplication,
 case when spread <= 0 then 'A' when spread = 1 then 'B' when spread = 2 then 'C+' else 'F' end as g_spread"""
 AGG = """agg as (select (select coalesce(avg(instability), 0) from b_modules) as mean_instability, (select coalesce(avg(distance), 0) from b_modules) as mean_distance, (select max(lcom) from b_modules) as max_lcom,
-  (select count(*) from b_modules where instability <= 0.001 or instability >= 0.999) as spread, (select count(*) from b_modules) as n_modules, (select count(*) from base_cycles) as n_cycles,
+  (select count(*) from b_modules where instability <= 0.001 or instability >= 0.999) as spread, (select count(*) from b_modules) as n_modules, (select count(*) from b_cycles) as n_cycles,
   (select cast(sum(lc) as bigint) * 100.0::double / (select sum(total_lines) from b_modules) from (select max(line_count) as lc from listed group by file, start, "end")) as dup_percent, (select cast(sum(total_lines) as bigint) from b_modules) as total_lines)"""
 HITS = """dupf as (select count(*) as n_blocks, (select string_agg('`' || file || '`', ', ' order by file) from (select distinct file from listed)) as files, (select max(similarity) from listed) as similarity from (select distinct file, start, "end" from listed)),
-part_ as (select node as path, 1::double as n, '`' || replace(members, ' ', '`, `') || '`' as rep from base_big join base_cycles using (root)),
+part_ as (select node as path, 1::double as n, '`' || replace(members, ' ', '`, `') || '`' as rep from b_big join b_cycles using (root)),
 hits as (select 'red' as severity, 'lcom4-split' as rule, module as module_path, (lcom - 4)::double as extremity, lcom::double as value, '' as note from b_modules where lcom >= 4
   union all select 'red', 'distance-refactor', module, distance - 0.5::double, distance, zone from b_modules where distance >= 0.5::double
   union all select 'red', 'cycle-break', path, n, n, rep from part_
@@ -128,15 +125,15 @@ FILES = """files as (select case when doc_id % 10 = 3 then coalesce(source, 'non
       case when lang = 'en' then '.py' when lang = 'de' then '.ts' when doc_id % 2 = 0 then '.gen.go' else '.go' end as ext from documents), f as (select *, dir || '/f' || doc_id || ext as path from files)"""
 SQL = {
     "m1_module_metrics": f"{MODULES} select * from b_modules",
-    "a1_a2_coupling": f"{FACTS} {_coupling('imports', 'packages')}",
-    "j3_internal_edges": f"{FACTS} select module, target from imports where target in (select module from packages)",
-    "a23_edge_counters": f"""{FACTS} select p.module, (select count(*) from imports i where i.module = p.module and i.target in (select module from packages)) as internal_out,
-      (select count(*) from imports i where i.target = p.module) as internal_in, (select count(*) from imports i where i.module = p.module and i.target not in (select module from packages)) as external_out from packages p""",
+    "a1_a2_coupling": f"{FACTS} {_coupling('b')}",
+    "j3_internal_edges": f"{FACTS} select src as module, dst as target from b_edges",
+    "a23_edge_counters": f"""{FACTS} select p.module, (select count(*) from b_edges where src = p.module) as internal_out, (select count(*) from b_edges where dst = p.module) as internal_in,
+      (select count(*) from b_imports i where i.module = p.module and i.target like 'lib/%') as external_out from b_cust p""",
     "a4_type_counts": "select p_brand as module, count(*) filter (where p_size > 2) as exported_types, count(*) filter (where p_size > 2 and p_size > 5 and p_type = 'ECONOMY') as abstract_types from part group by 1",
     "a6_cohesion": f"{LCOM} select module as scope, lcom from b_lcom",
-    "a8_cycles": f"{FACTS}, {EDGES} select members, n from base_cycles",
-    "a8_strong_components": f"{FACTS}, {EDGES} select node, root from base_big",
-    "a16_participation": f"{FACTS}, {EDGES} select node as path, 1::bigint as n_cycles, members as representative from base_big join base_cycles using (root)",
+    "a8_cycles": f"{FACTS}, {EDGES} select members, n from b_cycles",
+    "a8_strong_components": f"{FACTS}, {EDGES} select node, root from b_big",
+    "a16_participation": f"{FACTS}, {EDGES} select node as path, 1::bigint as n_cycles, members as representative from b_big join b_cycles using (root)",
     "a12_a13_aggregates": f"{REPORT} select {GRADES} from agg",
     "a20_graph_stats": f"{MODULES} select count(*) as n_modules, cast(sum(total_lines) as bigint) as total_lines from b_modules",
     "a22_extremes": f"""{MODULES} select (select module from b_modules order by ca desc, module limit 1) as most_ca, (select module from b_modules order by ce desc, module limit 1) as most_ce,
@@ -151,7 +148,7 @@ SQL = {
       (select count(*) from why) as n_reasons from delta where state = 'both'""",
     "f1_violations": f"""{MODULES}, {EDGES}, v as (select module, 0::bigint as rank, 'instability' as metric, instability as value, 0.8::double as "limit" from b_modules union all select module, 1, 'distance', distance, 0.3 from b_modules
       union all select module, 2, 'lcom', lcom::double, 3.0 from b_modules) select module, rank, metric, round(value, 6) as value, "limit" from v where value > "limit"
-      union all select '', 99, 'cycles', count(*)::double, 0.0 from base_cycles having count(*) > 0""",
+      union all select '', 99, 'cycles', count(*)::double, 0.0 from b_cycles having count(*) > 0""",
     "v4_rule_hits": f"{REPORT} select {HIT_COLUMNS} from hits",
     "o9_recommendations": f"""{REPORT} select {HIT_COLUMNS} from (select * from hits order by case severity when 'red' then 0 when 'yellow' then 1 else 2 end, extremity desc, module_path, rule, note limit 5)""",
     "v5_report_model": f"""{REPORT}, g as (select {GRADES} from agg), r as (select list_max([list_position(['A','B+','B','C+','C','F'], x) for x in [g_distance, g_lcom, g_cycles, g_duplication, g_spread]]) as worst, g.* from g)
@@ -182,7 +179,7 @@ SQL = {
     "j6_longest_prefix": r"""with u as (select page_id, string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') as seg from pages), mods as (select distinct seg[1] || '/' || seg[2] as m from u where len(seg) > 2 union select distinct seg[1] from u),
       x as (select page_id, i, array_to_string(seg[1:i], '/') as prefix from u, unnest(range(1, len(seg) + 1)) t(i))
       select u.page_id, (select arg_max(prefix, i) from x where x.page_id = u.page_id and prefix in (select m from mods)) as module from u""",
-    "j12_implements": """with i as (select distinct p_type as iface, p_size as method from part where p_size <= 10 and p_brand < 'Brand#2'), t as (select distinct p_brand as type, p_size as method from part),
+    "j12_implements": """with i as (select distinct p_type || '/' || p_name as iface, p_size as method from part), t as (select distinct p_brand as type, p_size as method from part),
       n as (select iface, count(*) as need from i group by 1), h as (select iface, type, count(*) as have from i join t using (method) group by 1, 2) select iface, type from h join n using (iface) where have = need""",
     "a19_interface_width": "select p_type as module, string_agg(iface || '=' || width, ',' order by iface) as widths from (select p_type, p_brand as iface, count(distinct p_size) as width from part group by 1, 2) group by 1",
     "u1_warning_union": f"""with {FILES} select 'parse-error' as code, path || ': ' || error as message, dir as module from f where error is not null

@@ -64,7 +64,7 @@ def _(spark, sf):
 
 @query("a8_strong_components")
 def _(spark, sf):
-    return graph.strong_components(facts.edges(spark, sf), square_edges=0)
+    return graph.strong_components(facts.edges(spark, sf))
 
 
 @query("a16_participation")
@@ -101,11 +101,11 @@ def _(spark, sf):
 
 
 def _delta(spark, sf):
-    return cut(delta.module_delta(facts.modules(spark, sf), facts.changed_modules(spark, sf)))
+    return cut(facts.module_delta(spark, sf))
 
 
 def _cycle_delta(spark, sf):
-    return cut(delta.cycle_delta(graph.cycles(facts.edges(spark, sf)), graph.cycles(facts.edges(spark, sf, facts.CHANGE))))
+    return cut(facts.cycle_delta(spark, sf))
 
 
 @query("j1_module_delta")
@@ -278,7 +278,7 @@ def _(spark, sf):
 @query("j12_implements")
 def _(spark, sf):
     p = facts.table(spark, sf, "part")
-    ifaces = p.where("p_size <= 10 and p_brand < 'Brand#2'").select(F.col("p_type").alias("iface"), F.col("p_size").alias("method"))
+    ifaces = p.select(F.concat_ws("/", "p_type", "p_name").alias("iface"), F.col("p_size").alias("method"))
     return coupling.implements(ifaces, p.select(F.col("p_brand").alias("type"), F.col("p_size").alias("method")))
 
 
