@@ -7,22 +7,39 @@ from pyspark.sql import functions as F
 
 from ..plans.session import cut
 
-#: Up to so many edges reachability is squared (few rounds, a row a reachable pair); beyond, colours are spread (linear).
-SQUARE_EDGES = 5_000
+#: Reachability is squared (few rounds) while no step makes more rows an edge than this; else colours are spread (linear).
+SQUARE_ROWS = 64
+#: A graph of fewer edges may make as many rows as one of so many.
+LEAST_EDGES = 100_000
+#: Scopes of up to so many (method, field) rows are solved within a row; rounds are for larger ones, with the same results.
+LOCAL_ROWS = 256
 
 
 def _state(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first())
 
 
-def _by_closure(edges: DataFrame) -> DataFrame:
-    r, n = edges, edges.count()
+def _pairs(r: DataFrame) -> tuple[int, int]:
+    """Rows of r, and of r joined to itself end to start, counted from degrees before it is done."""
+    ends = F.array(F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    nodes = r.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
+    n = nodes.agg(F.sum("o"), F.sum(F.col("i") * F.col("o"))).first()
+    return n[0] or 0, n[1] or 0
+
+
+def _by_closure(edges: DataFrame, square_rows: int) -> DataFrame | None:
+    """Components by squared reachability, or None where a step would make too many rows."""
+    r, was, limit = edges, None, None
     while True:
+        n, pairs = _pairs(r)
+        limit = square_rows * max(n, LEAST_EDGES) if limit is None else limit
+        if n == was:
+            break
+        if pairs > limit:
+            return None
+        was = n
         two = r.alias("a").join(r.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
         r = cut(r.union(two).distinct())
-        if (m := r.count()) == n:
-            break
-        n = m
     back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return r.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("root"))
 
@@ -67,10 +84,11 @@ def _by_colour(edges: DataFrame) -> DataFrame:
     return out.select("node", F.col("c").alias("root"))
 
 
-def strong_components(edges: DataFrame, square_edges: int = SQUARE_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame, square_rows: int = SQUARE_ROWS) -> DataFrame:
     """(node, root) of every node in a cycle of two or more; root is the least member. Self-loops are no cycles."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    found = _by_closure(edges) if edges.count() <= square_edges else _by_colour(edges)
+    found = _by_closure(edges, square_rows)
+    found = _by_colour(edges) if found is None else found
     big = found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     return found.join(big, "root", "left_semi").select("node", "root")
 
@@ -95,18 +113,37 @@ def components(pairs: DataFrame) -> DataFrame:
     return e.select(F.col("n").alias("node"), F.col("p").alias("root"))
 
 
-def cohesion(method_fields: DataFrame) -> DataFrame:
+def _rounds(method_fields: DataFrame) -> DataFrame:
+    key = lambda kind, c: F.concat_ws("\x01", F.lit(kind), F.col("scope").cast("string"), F.col(c).cast("string"))
+    methods = method_fields.where("method is not null").select("scope", key("m", "method").alias("node")).distinct()
+    pairs = method_fields.where("method is not null and field is not null").select(key("m", "method").alias("a"), key("f", "field").alias("b"))
+    by_scope = methods.join(components(pairs), "node", "left").groupBy("scope")
+    return by_scope.agg(F.countDistinct(F.coalesce("root", "node")).cast("long").alias("lcom"))
+
+
+def _within_row(method_fields: DataFrame) -> DataFrame:
+    """Merge the method sets of a scope's fields one by one; a method without fields is a set of its own."""
+    slot = F.coalesce(F.concat(F.lit("f"), F.col("field").cast("string")), F.concat(F.lit("m"), F.col("method").cast("string")))
+    sets = method_fields.groupBy("scope", slot.alias("slot")).agg(F.collect_set("method").alias("s")).groupBy("scope").agg(F.collect_list("s").alias("sets"))
+    none = F.array().cast(sets.schema["sets"].dataType)
+
+    def merged(done, s):
+        meets = F.filter(done, lambda x: F.arrays_overlap(x, s))
+        return F.concat(F.filter(done, lambda x: ~F.arrays_overlap(x, s)), F.array(F.array_union(F.flatten(meets), s)))
+
+    return sets.select("scope", F.size(F.aggregate(F.filter("sets", lambda s: F.size(s) > 0), none, merged)).cast("long").alias("lcom"))
+
+
+def cohesion(method_fields: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """LCOM4 of each scope: components of methods that share a field, directly or through others.
 
     method_fields has (scope, method, field), field being null for a method without any; such a method is a
     component of its own, and a row with a null method marks a scope without methods, which has 0.
     """
-    key = lambda kind, c: F.concat_ws("\x01", F.lit(kind), F.col("scope").cast("string"), F.col(c).cast("string"))
-    methods = method_fields.where("method is not null").select("scope", key("m", "method").alias("node")).distinct()
-    pairs = method_fields.where("method is not null and field is not null").select(key("m", "method").alias("a"), key("f", "field").alias("b"))
-    roots = components(pairs)
-    by_scope = methods.join(roots, "node", "left").groupBy("scope").agg(F.countDistinct(F.coalesce("root", "node")).alias("lcom"))
-    return method_fields.select("scope").distinct().join(by_scope, "scope", "left").select("scope", F.coalesce("lcom", F.lit(0)).cast("long").alias("lcom"))
+    rows = cut(method_fields.select("scope", "method", "field").distinct())
+    sized = rows.join(rows.groupBy("scope").agg(F.count("*").alias("n")), "scope")
+    small, large = _within_row(sized.where(F.col("n") <= local_rows)), sized.where(F.col("n") > local_rows)
+    return small if large.isEmpty() else small.unionByName(_rounds(large))
 
 
 def participation(cycle_rows: DataFrame) -> DataFrame:

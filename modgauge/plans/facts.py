@@ -7,8 +7,11 @@ of function blocks, event types of time series.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import coupling, delta, duplication, graph
 from .session import cut
@@ -19,8 +22,15 @@ BLOCK = 8
 SIDES = {"base": ("P", 400), "change": ("F", 401)}
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table by its name; its schema is read once a session, as each look at it is a job of its own."""
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def packages(spark: SparkSession, sf: str, side: str = "base") -> DataFrame:
