@@ -115,7 +115,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _rounds(method_fields: DataFrame) -> DataFrame:
     key = lambda kind, c: F.concat_ws("\x01", F.lit(kind), F.col("scope").cast("string"), F.col(c).cast("string"))
-    methods = method_fields.where("method is not null").select("scope", key("m", "method").alias("node")).distinct()
+    methods = method_fields.select("scope", F.when(F.col("method").isNotNull(), key("m", "method")).alias("node")).distinct()
     pairs = method_fields.where("method is not null and field is not null").select(key("m", "method").alias("a"), key("f", "field").alias("b"))
     by_scope = methods.join(components(pairs), "node", "left").groupBy("scope")
     return by_scope.agg(F.countDistinct(F.coalesce("root", "node")).cast("long").alias("lcom"))
