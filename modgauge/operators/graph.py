@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
+from . import local
 
 #: Reachability is squared (few rounds) while no step makes more rows an edge than this; else colours are spread (linear).
 SQUARE_ROWS = 64
 #: A graph of fewer edges may make as many rows as one of so many.
 LEAST_EDGES = 100_000
-#: Scopes of up to so many (method, field) rows are solved within a row; rounds are for larger ones, with the same results.
-LOCAL_ROWS = 256
+#: Scopes of up to so many (method, field) rows are solved within a worker; rounds are for larger ones, with the same results.
+LOCAL_ROWS = 65_536
 
 
 def _state(df: DataFrame) -> tuple:
@@ -85,12 +86,24 @@ def _by_colour(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame, square_rows: int = SQUARE_ROWS) -> DataFrame:
-    """(node, root) of every node in a cycle of two or more; root is the least member. Self-loops are no cycles."""
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    """(node, root) of every node in a cycle of two or more; root is the least member. Self-loops are no cycles.
+
+    Where nodes are 64-bit numbers, cycles among near numbers are found within workers, and rounds take only the
+    edges that may lie on cycles that lead farther.
+    """
+    edges, done = edges.select("src", "dst").where("src <> dst"), None
+    if all(t == "bigint" for _, t in edges.dtypes):
+        edges = cut(edges)
+        got = cut(local.bucket_cycles(edges, local.parts(edges, 2 * edges.count())))
+        done, edges = got.where("not rest").select("node", "root"), got.where("rest").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+        if edges.isEmpty():
+            return done
+    edges = cut(edges.distinct())
     found = _by_closure(edges, square_rows)
     found = _by_colour(edges) if found is None else found
     big = found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    return found.join(big, "root", "left_semi").select("node", "root")
+    found = found.join(big, "root", "left_semi").select("node", "root")
+    return found if done is None else done.unionByName(found)
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -121,28 +134,19 @@ def _rounds(method_fields: DataFrame) -> DataFrame:
     return by_scope.agg(F.countDistinct(F.coalesce("root", "node")).cast("long").alias("lcom"))
 
 
-def _within_row(method_fields: DataFrame) -> DataFrame:
-    """Merge the method sets of a scope's fields one by one; a method without fields is a set of its own."""
-    slot = F.coalesce(F.concat(F.lit("f"), F.col("field").cast("string")), F.concat(F.lit("m"), F.col("method").cast("string")))
-    sets = method_fields.groupBy("scope", slot.alias("slot")).agg(F.collect_set("method").alias("s")).groupBy("scope").agg(F.collect_list("s").alias("sets"))
-    none = F.array().cast(sets.schema["sets"].dataType)
-
-    def merged(done, s):
-        meets = F.filter(done, lambda x: F.arrays_overlap(x, s))
-        return F.concat(F.filter(done, lambda x: ~F.arrays_overlap(x, s)), F.array(F.array_union(F.flatten(meets), s)))
-
-    return sets.select("scope", F.size(F.aggregate(F.filter("sets", lambda s: F.size(s) > 0), none, merged)).cast("long").alias("lcom"))
-
-
-def cohesion(method_fields: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def cohesion(method_fields: DataFrame, local_rows: int = LOCAL_ROWS, n_rows: int | None = None) -> DataFrame:
     """LCOM4 of each scope: components of methods that share a field, directly or through others.
 
     method_fields has (scope, method, field), field being null for a method without any; such a method is a
-    component of its own, and a row with a null method marks a scope without methods, which has 0.
+    component of its own, and a row with a null method marks a scope without methods, which has 0. n_rows says
+    about how many rows there are, where that is known beforehand.
     """
-    rows = cut(method_fields.select("scope", "method", "field").distinct())
-    sized = rows.join(rows.groupBy("scope").agg(F.count("*").alias("n")), "scope")
-    small, large = _within_row(sized.where(F.col("n") <= local_rows)), sized.where(F.col("n") > local_rows)
+    rows = method_fields.select("scope", "method", "field")
+    if n_rows is None:
+        rows = cut(rows)
+        n_rows = rows.count()
+    got = cut(local.scope_components(rows, local.parts(rows, n_rows), local_rows))
+    small, large = got.where("lcom is not null").select("scope", "lcom"), got.where("lcom is null").select("scope", "method", "field")
     return small if large.isEmpty() else small.unionByName(_rounds(large))
 
 
