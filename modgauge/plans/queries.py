@@ -54,27 +54,28 @@ def _(spark, sf):
 
 @query("a6_cohesion")
 def _(spark, sf):
-    return graph.cohesion(facts.method_fields(spark, sf))
+    return facts.cohesion(spark, sf)
 
 
 @query("a8_cycles")
 def _(spark, sf):
-    return graph.cycles(facts.edges(spark, sf)).select(_joined().alias("members"), F.size("members").cast("long").alias("n"))
+    return facts.cycles(spark, sf).select(_joined().alias("members"), F.size("members").cast("long").alias("n"))
 
 
 @query("a8_strong_components")
 def _(spark, sf):
-    return graph.strong_components(facts.edges(spark, sf))
+    return facts.cycles(spark, sf).select(F.explode("members").alias("node"), F.col("members")[0].alias("root"))
 
 
 @query("a16_participation")
 def _(spark, sf):
-    return graph.participation(graph.cycles(facts.edges(spark, sf))).withColumn("representative", _joined("representative"))
+    return graph.participation(facts.cycles(spark, sf)).withColumn("representative", _joined("representative"))
 
 
 def _parts(spark, sf):
     """Modules, cycles and duplicate blocks: what a report is made of, computed once for a query."""
-    return cut(facts.modules(spark, sf)), cut(graph.cycles(facts.edges(spark, sf))), cut(facts.dup_blocks(spark, sf))
+    modules, cycles = facts.graph_parts(spark, sf)
+    return cut(modules), cut(cycles), cut(facts.dup_blocks(spark, sf))
 
 
 def _agg(modules, cycles, blocks):
@@ -100,44 +101,41 @@ def _(spark, sf):
     return coupling.extremes(facts.modules(spark, sf))
 
 
-def _delta(spark, sf):
-    return cut(facts.module_delta(spark, sf))
-
-
-def _cycle_delta(spark, sf):
-    return cut(facts.cycle_delta(spark, sf))
+def _diff(spark, sf):
+    modules, cycles = facts.diff(spark, sf)
+    return cut(modules), cut(cycles)
 
 
 @query("j1_module_delta")
 def _(spark, sf):
-    return _delta(spark, sf)
+    return facts.diff(spark, sf, cycles=False)[0]
 
 
 @query("j2_cycle_delta")
 def _(spark, sf):
-    return _cycle_delta(spark, sf).select(_joined().alias("members"), "state")
+    return facts.diff(spark, sf, modules=False)[1].select(_joined().alias("members"), "state")
 
 
 @query("a21_direction")
 def _(spark, sf):
-    return delta.direction(_delta(spark, sf), _cycle_delta(spark, sf))
+    return delta.direction(*_diff(spark, sf))
 
 
 @query("o10_reasons")
 def _(spark, sf):
-    return delta.reasons(_delta(spark, sf), _cycle_delta(spark, sf)).withColumn("subject", F.replace("subject", F.lit("\x00"), F.lit(" ")))
+    return delta.reasons(*_diff(spark, sf)).withColumn("subject", F.replace("subject", F.lit("\x00"), F.lit(" ")))
 
 
 @query("v3_verdict")
 def _(spark, sf):
-    return delta.verdict(_delta(spark, sf), _cycle_delta(spark, sf))
+    return delta.verdict(*_diff(spark, sf))
 
 
 @query("f1_violations")
 def _(spark, sf):
-    modules = facts.modules(spark, sf)
-    none = modules.select("module", F.lit(0.0).alias("dup_percent"))
-    return _rounded(report.violations(modules, none, LIMITS, graph.cycles(facts.edges(spark, sf))), "value")
+    modules, cycles = map(cut, facts.graph_parts(spark, sf))
+    none = modules.where("false").select("module", F.lit(0.0).alias("dup_percent"))  # no duplication: counts as 0
+    return _rounded(report.violations(modules, none, LIMITS, cycles), "value")
 
 
 def _hits(modules, cycles, blocks):
