@@ -113,79 +113,89 @@ def bucket_cycles(edges: DataFrame, n_parts: int) -> DataFrame:
     return both.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(solved, "node long, root long, rest boolean")
 
 
-def _merged(methods: list, fields: list) -> int:
-    """Number of components of methods that share a field."""
-    parent: dict = {}
-    first: dict = {}
-    n = 0
-    for m, f in zip(methods, fields, strict=True):
-        if m is None:
-            continue
-        if m not in parent:
-            parent[m] = m
-            n += 1
-        if f is None:
-            continue
-        o = first.setdefault(f, m)
-        if o == m:
-            continue
-        while parent[o] != o:
-            parent[o] = o = parent[parent[o]]
-        while parent[m] != m:
-            parent[m] = m = parent[parent[m]]
-        if o != m:
-            parent[m] = o
-            n -= 1
-    return n
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of n nodes, by edges (a, b); grandparents are hooked, so rounds are few on long paths too."""
+    parent = np.arange(n)
+    while True:
+        up = parent[parent]
+        to = np.minimum(up[a], up[b])
+        now = up.copy()
+        for x in (a, b):
+            np.minimum.at(now, parent[x], to)
+            np.minimum.at(now, x, to)
+        now = now[now]
+        if np.array_equal(now, parent):
+            return now
+        parent = now
+
+
+def _codes(c: pa.Array) -> tuple[np.ndarray, int]:
+    """Dense numbers of the values in order of appearance, with -1 for null, and how many there are."""
+    d = c.dictionary_encode()
+    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), len(d.dictionary)
+
+
+def _within(scope: np.ndarray, c: pa.Array) -> tuple[np.ndarray, int]:
+    """Dense numbers of the pairs of scope and value, with -1 where the value is null."""
+    code, n = _codes(c)
+    return _codes(pa.array(scope * n + code, mask=code < 0))
+
+
+def _lcom(scope: np.ndarray, n: int, method: pa.Array, field: pa.Array) -> np.ndarray:
+    """For each of n scopes the number of components of methods that share a field; all scopes of a batch at once."""
+    m, n_methods = _within(scope, method)
+    f, n_fields = _within(scope, field)
+    of = np.zeros(n_methods, dtype=np.int64)
+    of[m[m >= 0]] = scope[m >= 0]
+    linked = (m >= 0) & (f >= 0)
+    root = _components(n_methods + n_fields, m[linked], f[linked] + n_methods)[:n_methods]
+    return np.bincount(of[root == np.arange(n_methods)], minlength=n)
 
 
 def scope_components(method_fields: DataFrame, n_parts: int, local_rows: int) -> DataFrame:
-    """(scope, lcom) of scopes of up to local_rows rows; rows of larger ones come back as they are, without lcom."""
+    """(scope, lcom) of scopes of up to local_rows rows; rows of larger ones come back as they are, without lcom.
+
+    A worker holds a batch and the scope that it ends in.
+    """
     schema = method_fields.select("scope", F.lit(0).cast("long").alias("lcom"), "method", "field").schema
     for f in schema:
         f.nullable = True
 
-    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, was, over, types = ([], []), None, False, None
-        done: tuple[list, list] = ([], [])
-        rest: tuple[list, list, list] = ([], [], [])
-
-        def close():
-            if was is not None and not over:
-                done[0].append(was)
-                done[1].append(_merged(*held))
-
-        def out():
-            k, r = len(done[0]), len(rest[0])
-            cols = [done[0] + rest[0], done[1] + [None] * r, [None] * k + rest[1], [None] * k + rest[2]]
-            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["scope", "lcom", "method", "field"])
-            for c in (*done, *rest):
-                c.clear()
-            return got
+    def out(scope: pa.Array, lcom: pa.Array | None, method: pa.Array, field: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([scope, pa.nulls(len(scope), pa.int64()) if lcom is None else lcom, method, field], ["scope", "lcom", "method", "field"])
+
+    def closed(cols: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        scope, n = _codes(cols[0])
+        if not n:
+            return
+        size = np.bincount(scope, minlength=n)
+        over = (size > local_rows)[scope]
+        if over.any():
+            yield out(cols[0].filter(pa.array(over)), None, *(c.filter(pa.array(over)) for c in cols[1:]))
+        lcom, few = _lcom(scope, n, *cols[1:]), size <= local_rows
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])[few]
+        yield out(cols[0].take(pa.array(first)), pa.array(lcom[few], pa.int64()), *(pa.nulls(len(first), c.type) for c in cols[1:]))
 
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
         for batch in batches:
-            types = [batch.schema.field(0).type, pa.int64(), batch.schema.field(1).type, batch.schema.field(2).type]
-            scope, method, field = (c.to_pylist() for c in batch.columns)
-            lo = 0
-            while lo < len(scope):
-                hi, name = lo + 1, scope[lo]
-                while hi < len(scope) and scope[hi] == name:
-                    hi += 1
-                if name != was:
-                    close()
-                    held, was, over = ([], []), name, False
-                held[0].extend(method[lo:hi])
-                held[1].extend(field[lo:hi])
-                if over := over or len(held[0]) > local_rows:
-                    for c, x in zip(rest, ([name] * len(held[0]), *held), strict=True):
-                        c.extend(x)
-                    held = ([], [])
-                lo = hi
-            if types:
-                yield out()
-        close()
-        if types:
-            yield out()
+            if not batch.num_rows:
+                continue
+            cols = batch.columns if held is None else [pa.concat_arrays(c) for c in zip(held, batch.columns, strict=True)]
+            scope, n = _codes(cols[0])
+            lo, hi = 0, int(np.searchsorted(scope, n - 1))
+            if large is not None and cols[0][0] == large:
+                lo = int(np.searchsorted(scope, 1))
+                yield out(cols[0][:lo], None, *(c[:lo] for c in cols[1:]))
+                if n == 1:
+                    continue
+            yield from closed([c[lo:hi] for c in cols])
+            held, large = [c[hi:] for c in cols], None
+            if len(held[0]) > local_rows:
+                yield out(held[0], None, *held[1:])
+                held, large = None, cols[0][hi]
+        if held is not None:
+            yield from closed(held)
 
     rows = method_fields.where("scope is not null").select("scope", "method", "field")
     return rows.repartition(n_parts, "scope").sortWithinPartitions("scope").mapInArrow(solved, schema)

@@ -1,8 +1,11 @@
 """Components within workers: the same results as rounds, no rounds where numbers or scopes are near, few reads."""
 
 import random
+import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_oracle import TABLES, rows
 
@@ -83,3 +86,26 @@ def test_modules_of_several_customers(spark, sf_dir, tmp_path, name):
     df = plans.queries()[name](spark, str(tmp_path))
     cursor = con.execute(plans.oracle_sql()[name])
     assert rows(df.columns, df.collect()) == rows([c[0] for c in cursor.description], cursor.fetchall())
+
+
+def test_long_paths_take_few_rounds():
+    """A path of 20,000 methods is one component, found by few passes over its rows; a scope's batch holds others beside it."""
+    n = 20_000
+    a = np.arange(n).repeat(2)
+    b = (a + np.tile([0, 1], n)) % n
+    scope = np.concatenate([np.zeros(2 * n, dtype=np.int64), [1, 1, 2]])
+    began = time.perf_counter()
+    got = local._lcom(scope, 3, pa.array([*a, 5, 6, None], pa.int64()), pa.array([*b, 5, None, 3], pa.int64()))
+    assert got.tolist() == [1, 2, 0] and time.perf_counter() - began < 5
+
+
+def test_scopes_across_batches(spark):
+    """Scopes that span batches, and those handed back as too large, count as they do by rounds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        r = random.Random(5)
+        facts = [(r.choice("abcdefgh") if i % 3 else "large", r.choice([None, *range(30)]), r.choice([None, *range(20)])) for i in range(300)]
+        by = [{tuple(x) for x in graph.cohesion(spark.createDataFrame(facts, "scope string, method long, field long"), n).collect()} for n in (0, 40, 1000)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert by[0] == by[1] == by[2] and len(by[0]) == 9
