@@ -109,3 +109,15 @@ def test_scopes_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert by[0] == by[1] == by[2] and len(by[0]) == 9
+
+
+def test_diff_rows_are_linear_in_modules_of_many_customers(spark, sf_dir, tmp_path):
+    """Equal rows of a module meet as counts: a row a module until the end, and as many rows at the end as SQL has."""
+    con = duckdb.connect()
+    for t in TABLES:
+        cells = "* replace ('C' as c_name, 1 as c_nationkey)" if t == "customer" else "*"
+        con.execute(f"copy (select {cells} from '{sf_dir}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+    n = con.execute(f"select count(*) from '{tmp_path}/customer.parquet'").fetchone()[0]
+    deltas = facts.diff(spark, str(tmp_path), cycles=False)[0]
+    assert [(r.copies_b, r.copies_c) for r in deltas.collect()] == [(n, n)]
+    assert plans.queries()["j1_module_delta"](spark, str(tmp_path)).count() == n * n
