@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..plans.session import cut
 
 MIN_LINES = 6
 SKIPPED_DIRS = ("mock", "generated", "mocks", "testdata")
@@ -46,8 +47,8 @@ def duplicate_pairs(blocks: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def duplicate_classes(blocks: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Each block that has a duplicate, with its class and the class's number of blocks; linear in the blocks."""
-    b = blocks.where(F.col("sig_lines") >= min_lines).withColumn("class", F.sha2("norm_body", 256))
+    """Each block that has a duplicate, with its class and the class's number of blocks; linear in the blocks, whose bodies are read once."""
+    b = cut(blocks.where(F.col("sig_lines") >= min_lines).select("module", F.sha2("norm_body", 256).alias("class"), "file", "start", "end", "sig_lines"))
     size = b.groupBy("module", "class").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1")
     return b.join(size, ["module", "class"]).select("module", "class", "n_blocks", "file", "start", "end", "sig_lines")
 
