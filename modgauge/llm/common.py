@@ -54,6 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_parts(df: DataFrame, rows: int) -> DataFrame:
+    """A result of about so many small rows in few partitions, before it is checkpointed.
+
+    Each file of a checkpoint costs an executor two processes (Hadoop's local file system runs chmod), which hold
+    the executor's memory until they start.
+    """
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // 1_000 + 1), rows // BROADCAST_ROWS))
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back; the files go when the application ends."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, BROADCAST_ROWS, cut, join_small, let
+from .common import BLANKS, BROADCAST_ROWS, cut, in_parts, join_small, let
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive forms of the patterns: they match the same leftmost spans without backtracking, in linear time.
@@ -31,6 +31,8 @@ GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"\p{L}[\p{L}\p{N}'-]{2,}+"
 #: Characters looked at first on either side of a mention, and matches whose lengths are summed at once.
 REACH, BLOCK = 400, 128
+#: The input is read by so many tasks a core, or by one for so many rows where that is more.
+TASKS, TASK_ROWS = 4, 4_000
 SPANS, KINDED = "array<struct<s:int,e:int,v:string>>", "array<struct<s:int,k:int,e:int,v:string>>"
 MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 
@@ -159,14 +161,15 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """
     near = found.where("size(_near) > 0").select("doc_id", "_h", F.explode("_near").alias("x")).select("doc_id", "_h", "x.entity", "x.context", "x.term")
     pairs = near.groupBy("entity", "term", "context").agg(F.count("*")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    pairs = cut(pairs.select("entity", "term"))
-    if pairs.isEmpty():
+    total = found.count()
+    pairs = cut(in_parts(pairs.select("entity", "term"), total))
+    n_pairs = pairs.count()
+    if not n_pairs:
         return None
-    terms = cut(pairs.select("term").distinct())
+    terms = pairs.select("term").distinct()
     tokens = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("_t"))
     counted = tokens.groupBy("_t").agg(F.count("*").alias("df_t"))
-    of_term = join_small(counted, terms, F.col("_t") == F.col("term"), terms.count()).select("term", "df_t")
-    total = found.count()
+    of_term = join_small(counted, terms, F.col("_t") == F.col("term"), n_pairs).select("term", "df_t")
     entities = pairs.select("entity").distinct()
     of_entity = found.where("size(_spans) > 0").select(F.explode(F.array_distinct(F.transform("_spans", lambda m: F.concat_ws(":", m["k"].cast("string"), F.lower(m["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e")).join(entities, "entity", "left_semi")
     once = found.where("size(_near) > 0").select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.*")
@@ -174,30 +177,33 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     n = F.lit(float(total))
     share = F.log(F.col("df_te") * n / (F.col("df_t") * F.col("df_e"))) / F.nullif(F.log(n / F.col("df_e")), F.lit(0.0))
     out = pairs.join(both, ["entity", "term"]).join(of_term, "term").join(of_entity, "entity").withColumn("share", share)
-    return cut(out.where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    return cut(in_parts(out.where(F.col("share") >= GENERALISE).select("entity", "term", "share"), n_pairs))
 
 
 def found_in(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h, _spans, _near) of every row; many small partitions of the input are read by fewer tasks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("_t"), F.explode(F.array(base_spans(text))).alias("_spans"))
+    dealt = docs.coalesce(max(TASKS * docs.sparkSession.sparkContext.defaultParallelism, docs.count() // TASK_ROWS))
+    spans = dealt.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("_t"), F.explode(F.array(base_spans(text))).alias("_spans"))
     return cut(spans.select("doc_id", "_h", "_spans", contexts(F.col("_t"), F.col("_spans")).alias("_near")))
 
 
 def term_spans(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(_id, _g, _terms): for each document with disclosing terms their spans, v being what takes their place."""
     shares = disclosing(found, docs)
-    if shares is None or shares.isEmpty():
+    few = 0 if shares is None else shares.count()
+    if not few:
         return None
-    of_term = cut(shares.groupBy(F.col("term").alias("_w")).agg(F.max("share").alias("share")))
-    few = of_term.count()
+    of_term = shares.groupBy(F.col("term").alias("_w")).agg(F.max("share").alias("share"))
     text = F.coalesce(F.col("text"), F.lit(""))
     own = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
     tokens = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(own)).alias("_t"))
     word = F.struct(F.col("_w").alias("w"), F.when(F.col("share") >= REMOVE, "").otherwise("<TERM>").alias("v"))
     hit = join_small(tokens, of_term, F.col("_t") == F.col("_w"), few)
-    hit = cut(hit.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.collect_set(word).alias("_words")))
+    hit = cut(in_parts(hit.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.collect_set(word).alias("_words")), found.count()))
+    n_hit = hit.count()
     here = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("_t"))
-    here = join_small(here, hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), hit.count()).dropDuplicates(["_id", "_g"])
+    here = join_small(here, hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), n_hit).dropDuplicates(["_id", "_g"])
 
     def placed(by: Column) -> Column:
         struct = lambda x: F.struct(x["s"].alias("s"), F.lit(len(MASK)).alias("k"), x["e"].alias("e"), by[F.lower(x["v"])].alias("v"))
@@ -205,7 +211,7 @@ def term_spans(found: DataFrame, docs: DataFrame) -> DataFrame | None:
 
     here = here.select("_id", "_g", F.explode(F.array(base_spans(F.col("_t")))).alias("_base"), let(F.map_from_entries("_words"), placed).alias("_all"))
     free = F.filter("_all", lambda t: ~F.exists("_base", lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))
-    return cut(here.select("_id", "_g", free.alias("_terms")))
+    return cut(in_parts(here.select("_id", "_g", free.alias("_terms")), n_hit))
 
 
 def with_terms(df: DataFrame, terms: DataFrame | None) -> DataFrame:

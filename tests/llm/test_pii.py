@@ -175,3 +175,21 @@ def test_windows_hold_whole_words_on_either_side(spark):
         assert [x for x in blank.split(l) if x] == [x for x in [*[p for p in parts[:-1] if p][-8:], parts[-1]] if x]
         parts = blank.split(right)
         assert [x for x in blank.split(r) if x] == [x for x in [parts[0], *[p for p in parts[1:] if p][:8]] if x]
+
+
+def test_checkpoints_of_many_small_partitions_have_few_files(spark, monkeypatch):
+    """Each file costs executors processes that hold their memory for a moment: rows dealt over 96 partitions are read by 16 tasks."""
+    made, cut, was = [], op.cut, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(op, "cut", lambda df: made.append(cut(df)) or made[-1])
+    rows = [(i, f"calm{i} quasar jane@mail.example.org then{i}" if i < 4 else f"word{i} and more", "en", "web", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(96)
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        check(docs, docs.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [df.rdd.getNumPartitions() for df in made]
+    assert len(files) == 5 and files[0] == 16 and sum(files[1:]) <= 4, files
