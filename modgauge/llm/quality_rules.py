@@ -6,7 +6,7 @@ steps from three starts about the medians (median deviations alone, spatial sign
 scaled values): the COVERAGE share of documents nearest by Mahalanobis distance gives the next mean and covariance.
 The start with the least determinant goes on alone. Documents beyond CUTOFF are rejected. A group of few documents
 is judged by the estimate of its language, and one of a language of few by that of all documents. Everything
-runs as column expressions; the estimates are a small table, whose triangular factor is worked out in columns.
+runs as column expressions; the estimates are a small table, whose triangular factor is worked out in arrays.
 """
 
 from __future__ import annotations
@@ -83,23 +83,30 @@ def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 X = [f"_x{i}" for i in range(P)]
+#: Place of each row's first cell in a lower triangle that is kept as an array, and its cells as SQL: place, row, column, places of both rows.
+AT = [i * (i + 1) // 2 for i in range(P)]
+CELLS = "array(" + ", ".join(f"struct({c} AS c, {i} AS i, {j} AS j, {AT[i]} AS a, {AT[j]} AS b)" for c, (i, j) in enumerate(LOWER)) + ")"
 
 
 def factored(sums: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each (_g, _k) from _n, _m0.. (means) and _c00.. (covariances), shrunk to SPREAD."""
-    cells = []
-    for i, j in LOWER:
-        prior = f" + {SPREAD[i] ** 2}D * (1.05D - _n / (_n + {PRIOR}D))" if i == j else ""
-        rest = "".join(f" - _l{i}{k} * _l{j}{k}" for k in range(j))
-        value = f"_n / (_n + {PRIOR}D) * _c{i}{j}{prior}{rest}"
-        cells.append(f"sqrt({value}) AS _l{i}{j}" if i == j else f"({value}) / _l{j}{j} AS _l{i}{j}")
-    return sums.selectExpr("_g", "_k", "_n", *[f"_m{i}" for i in range(P)], *cells)
+    """Mean and Cholesky factor of each (_g, _k) from _n, _m (means) and _c (covariances), shrunk to SPREAD.
+
+    Triangles are arrays, as named columns that build on each other make plans of a dozen wide projections, whose
+    planning took most of the driver's memory.
+    """
+    prior = f"if(q.i = q.j, array({', '.join(f'{s ** 2}D' for s in SPREAD)})[q.i] * (1.05D - _n / (_n + {PRIOR}D)), 0D)"
+    rest = f"aggregate(filter(array({', '.join(map(str, range(P)))}), k -> k < q.j), _n / (_n + {PRIOR}D) * _c[q.c] + {prior}, (v, k) -> v - l[q.a + k] * l[q.b + k])"
+    cell = f"transform(array({rest}), v -> if(q.i = q.j, sqrt(v), v / l[q.b + q.j]))"
+    return sums.selectExpr("_g", "_k", "_n", "_m", f"aggregate({CELLS}, cast(array() AS array<double>), (l, q) -> concat(l, {cell})) AS _l")
 
 
 def distance(df: DataFrame) -> DataFrame:
     """Add _d2, the squared Mahalanobis distance by the columns of factored()."""
-    ys = [f"(_x{i} / 1000 - _m{i}" + "".join(f" - _l{i}{j} * _y{j}" for j in range(i)) + f") / _l{i}{i} AS _y{i}" for i in range(P)]
-    return df.selectExpr("*", *ys, " + ".join(f"_y{i} * _y{i}" for i in range(P)) + " AS _d2").drop(*[f"_y{i}" for i in range(P)])
+    value = " + ".join(f"y{i} * y{i}" for i in range(P))
+    for i in reversed(range(P)):
+        y = f"(_x{i} / 1000 - _m[{i}]" + "".join(f" - _l[{AT[i] + j}] * y{j}" for j in range(i)) + f") / _l[{AT[i] + i}]"
+        value = f"transform(array({y}), y{i} -> {value})[0]"
+    return df.withColumn("_d2", F.expr(value))
 
 
 def levels(rows: DataFrame) -> DataFrame:
@@ -125,16 +132,16 @@ def starts(rows: DataFrame, joined, by: list[str]) -> DataFrame:
     wide = cut(joined(rows, mid).groupBy(by).agg(F.max("_n").alias("_n"), *map(F.expr, off)))
     scaled = joined(rows, wide).selectExpr(*by, "_n", *[f"_p{i}" for i in range(P)], *[f"_w{i}" for i in range(P)], *[f"(_x{i} - _p{i}) / greatest(1.4826D * _w{i}, {500 * SPREAD[i]}D) AS _z{i}" for i in range(P)])
     scaled = scaled.selectExpr("*", "sqrt(" + " + ".join(f"_z{i} * _z{i}" for i in range(P)) + ") AS _r")
-    micro = lambda x: f"sum(cast(round(1e6D * {x}) AS bigint))"
-    sign = [f"{micro(f'coalesce(_z{i} / nullif(_r, 0D) * (_z{j} / nullif(_r, 0D)), 0D)')} AS _s{i}{j}" for i, j in LOWER]
-    flat = [f"{micro(f'tanh(_z{i}) * tanh(_z{j})')} AS _t{i}{j}" for i, j in LOWER]
-    one = scaled.groupBy(by).agg(F.max("_n").alias("_n"), *[F.expr(f"max(_{c}{i}) AS _{c}{i}") for c in "pw" for i in range(P)], *map(F.expr, sign + flat))
-    of = {"s": " + ".join(f"_s{i}{i}" for i in range(P)), "t": " + ".join(f"_t{i}{i}" for i in range(P))}
-    width = lambda i: f"greatest(0.0014826D * _w{i}, {SPREAD[i] / 2}D)"
-    alone = ", ".join(f"{width(i)} * {width(i)} AS _c{i}{j}" if i == j else f"0D AS _c{i}{j}" for i, j in LOWER)
-    shapes = [", ".join(f"coalesce({P}D * _{c}{i}{j} / nullif({of[c]}, 0), 0D) * {width(i)} * {width(j)} AS _c{i}{j}" for i, j in LOWER) for c in "st"]
-    each = "explode(array(" + ", ".join(f"struct({k} AS _k, {x})" for k, x in enumerate((alone, *shapes))) + ")) AS _q"
-    return one.selectExpr(*by, "_n", *[f"_p{i} / 1000 AS _m{i}" for i in range(P)], each).selectExpr(*by, "_q._k", "_n", *[f"_m{i}" for i in range(P)], *[f"_q._c{i}{j}" for i, j in LOWER])
+    scaled = scaled.selectExpr(*by, "_n", *[f"_{c}{i}" for c in "pw" for i in range(P)], *[f"coalesce(_z{i} / nullif(_r, 0D), 0D) AS _u{i}" for i in range(P)], *[f"tanh(_z{i}) AS _v{i}" for i in range(P)])
+    cross = [f"sum(cast(round(1e6D * ({v}{i} * {v}{j})) AS bigint)) AS {s}{i}{j}" for v, s in (("_u", "_s"), ("_v", "_t")) for i, j in LOWER]
+    one = scaled.groupBy(by).agg(F.max("_n").alias("_n"), *[F.expr(f"max(_{c}{i}) AS _{c}{i}") for c in "pw" for i in range(P)], *map(F.expr, cross))
+    listed = lambda cells: f"array({', '.join(cells)})"
+    width = listed(f"greatest(0.0014826D * _w{i}, {SPREAD[i] / 2}D)" for i in range(P))
+    one = one.selectExpr(*by, "_n", f"{listed(f'_p{i} / 1000' for i in range(P))} AS _m", f"{width} AS _w", *[f"{listed(f'_{c}{i}{j}' for i, j in LOWER)} AS _{c}" for c in "st"])
+    shape = lambda c: f"transform({CELLS}, q -> coalesce({P}D * _{c}[q.c] / nullif({' + '.join(f'_{c}[{AT[i] + i}]' for i in range(P))}, 0), 0D) * _w[q.i] * _w[q.j])"
+    alone = f"transform({CELLS}, q -> if(q.i = q.j, _w[q.i] * _w[q.j], 0D))"
+    each = f"posexplode(array({alone}, {shape('s')}, {shape('t')})) AS (_k, _c)"
+    return one.selectExpr(*by, "_n", "_m", each)
 
 
 def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -148,28 +155,30 @@ def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     groups = level.count()
     few = lambda df: F.broadcast(df) if groups <= BROADCAST_ROWS // 8 else df
     key = level.select(F.col("_g").alias("_h"), "_keys")
-    rows = passed.join(few(key), F.col("_g") == F.col("_h")).select(F.explode("_keys").alias("_g"), *X)
+    rows = cut(passed.join(few(key), F.col("_g") == F.col("_h")).select(F.explode("_keys").alias("_g"), *X))
 
-    def joined(df: DataFrame, table: DataFrame, on: tuple[str, ...] = ("_g",)) -> DataFrame:
-        return df.join(few(table), [*on])
+    def joined(df: DataFrame, table: DataFrame) -> DataFrame:
+        return df.join(few(table), "_g")
 
     def step(now: DataFrame) -> DataFrame:
-        near = distance(joined(rows, now)).selectExpr("_g", "_k", *X, level_of)
-        inner = joined(near, near.groupBy("_g", "_k").agg(F.expr(f"percentile(_bin, {coverage}D) AS _b")), ("_g", "_k")).where("_bin <= _b")
+        """In two small plans: the bound of each estimate, then the next estimate from the rows within it."""
+        near = distance(joined(rows, now)).selectExpr("_g", "_k", "_m", "_l", f"{level_of} AS _bin")
+        bound = cut(near.groupBy("_g", "_k").agg(F.expr(f"percentile(_bin, {coverage}D) AS _b"), F.first("_m").alias("_m"), F.first("_l").alias("_l")))
+        inner = distance(joined(rows, bound)).where(f"{level_of} <= _b")
         sums = inner.groupBy("_g", "_k").agg(F.count("*").alias("_n"), *[F.sum(f"_x{i}").alias(f"_s{i}") for i in range(P)], *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q{i}{j}") for i, j in LOWER])
-        means = [f"_s{i} / _n / 1000 AS _m{i}" for i in range(P)]
-        return cut(factored(sums.selectExpr("_g", "_k", "_n", *means, *[f"_q{i}{j} / _n / 1e6D - _m{i} * _m{j} AS _c{i}{j}" for i, j in LOWER])))
+        sums = sums.selectExpr("_g", "_k", "_n", f"array({', '.join(f'_s{i} / _n / 1000' for i in range(P))}) AS _m", f"array({', '.join(f'_q{i}{j}' for i, j in LOWER)}) AS _q")
+        return cut(factored(sums.selectExpr("_g", "_k", "_n", "_m", f"transform({CELLS}, q -> _q[q.c] / _n / 1e6D - _m[q.i] * _m[q.j]) AS _c")))
 
-    level_of = "floor(100 * ln(greatest(_d2, 1e-6D))) AS _bin"
+    level_of = "floor(100 * ln(greatest(_d2, 1e-6D)))"
     now = cut(factored(starts(rows, joined, ["_g"])))
     for _ in range(TRIAL_STEPS):
         now = step(now)
-    size = " + ".join(f"ln(_l{i}{i})" for i in range(P))
-    now = now.selectExpr("_g", f"struct(round({size}, 9) AS size, _k, _n, {', '.join(now.columns[3:])}) AS _q").groupBy("_g").agg(F.min("_q").alias("_q")).select("_g", *[f"_q.{c}" for c in now.columns[1:]])
+    size = " + ".join(f"ln(_l[{AT[i] + i}])" for i in range(P))
+    now = now.groupBy("_g").agg(F.expr(f"min(struct(round({size}, 9) AS size, _k, _m, _l)) AS _q")).select("_g", *[f"_q.{c}" for c in ("_k", "_m", "_l")])
     for _ in range(LAST_STEPS):
         now = step(now)
-    scale = distance(joined(rows, now)).selectExpr("_g", level_of).groupBy("_g").agg(F.expr(f"greatest(1D, exp(percentile(_bin, 0.5D) / 100) / {MEDIAN}D) AS _scale"))
-    table = now.drop("_n", "_k").join(scale, "_g").withColumnRenamed("_g", "_key")
+    near = distance(joined(rows, now)).selectExpr("_g AS _key", "_m", "_l", f"{level_of} AS _bin")
+    table = near.groupBy("_key").agg(F.expr(f"greatest(1D, exp(percentile(_bin, 0.5D) / 100) / {MEDIAN}D) AS _scale"), F.first("_m").alias("_m"), F.first("_l").alias("_l"))
     return cut(level.select(F.col("_g").alias("_h"), "_e").join(table, F.col("_e") == F.col("_key")).drop("_e", "_key"))
 
 

@@ -123,3 +123,21 @@ def test_outlier_goes_and_likes_stay(spark):
 
 def test_kept_returns_documents(edge):
     assert op.kept(edge).columns == edge.columns
+
+
+def test_plans_stay_small(spark, edge):
+    """Wide projections that build on each other took more of the driver's memory than it has: the largest plan here had 61,393 characters."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        found, each = {}, store.executionsList().iterator()
+        while each.hasNext():
+            e = each.next()
+            found[e.executionId()] = len(e.physicalPlanDescription())
+        return found
+
+    before = plans()
+    assert op.kept(edge).count() <= edge.count()
+    sizes = [n for k, n in plans().items() if k not in before]
+    assert len(sizes) > 5 and max(sizes) < 40_000, sizes
